@@ -10,6 +10,24 @@ from pyspark.sql import types as T
 
 _UTC = dt.timezone.utc
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=_UTC)
+_WEEK = 7 * 86_400
+
+#: Offsets in minutes of zone letters (fixed values), where no country says otherwise.
+ZONE_LETTERS = {
+    "Z": 0, "UT": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "CET": 60, "CEST": 120, "MET": 60, "MEST": 120,
+    "MEZ": 60, "MESZ": 120, "EET": 120, "EEST": 180, "MSK": 180, "BST": 60, "IST": 330, "JST": 540, "KST": 540,
+    "HKT": 480, "SGT": 480, "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720,
+    "NZDT": 780, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480,
+    "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600, "AST": -240, "ADT": -180, "NST": -210, "NDT": -150,
+    "BRT": -180, "BRST": -120, "ART": -180, "SAST": 120, "PKT": 300,
+}
+
+#: The same letters where a country means another offset by them (fixed values).
+ZONE_LETTERS_BY_COUNTRY = {
+    ("IST", "IE"): 60, ("IST", "IL"): 120, ("BST", "BD"): 360, ("CST", "CN"): 480, ("CST", "TW"): 480,
+    ("CST", "CU"): -300, ("CDT", "CU"): -240, ("EST", "AU"): 600, ("EDT", "AU"): 660, ("CST", "AU"): 570,
+    ("CDT", "AU"): 630, ("WST", "AU"): 480, ("AST", "SA"): 180, ("PST", "PH"): 480,
+}
 
 
 def _secs(t: dt.datetime) -> int:
@@ -21,47 +39,36 @@ def _offset(zone: ZoneInfo, s: int) -> int:
 
 
 def zone_intervals(name: str, first_year: int, last_year: int) -> list[tuple[int, int, int]]:
-    """(utc_from, utc_to, offset) in seconds, in order, covering the years named. Transitions are found by
-    bisection between days of different offset."""
+    """(utc_from, utc_to, offset) in seconds, in order, over the years named; changes of the clock are found by
+    bisection between moments a week apart that differ in offset."""
     zone = ZoneInfo(name)
     lo, hi = (_secs(dt.datetime(y, 1, 1, tzinfo=_UTC)) for y in (first_year, last_year + 1))
     out, start, off = [], lo, _offset(zone, lo)
-    for day in range(lo, hi, 86_400 * 7):
-        end = min(day + 86_400 * 7, hi)
-        if (_offset(zone, end)) == off:
+    for at in range(lo, hi, _WEEK):
+        end = min(at + _WEEK, hi)
+        if _offset(zone, end) == off:
             continue
-        a, b = day, end
+        a, b = at, end
         while b - a > 1:
-            m = (a + b) // 2
-            a, b = (m, b) if _offset(zone, m) == off else (a, m)
+            mid = (a + b) // 2
+            a, b = (mid, b) if _offset(zone, mid) == off else (a, mid)
         out.append((start, b, off))
         start, off = b, _offset(zone, b)
     out.append((start, hi, off))
     return out
 
 
-def zone_table(spark: SparkSession, first_year: int = 1990, last_year: int = 2045, zones: list[str] | None = None) -> DataFrame:
-    """One row per zone and local month: the offset intervals that touch the month, in order of time.
-
-    Each interval has its bounds in *local* seconds: at a change to an earlier clock two intervals overlap, at a
-    change to a later one they leave a gap.  The size is bounded by the tz database (about 600 zones times the
-    months of the years asked for), whatever the data; the caller may broadcast it.
-    """
-    rows = []
-    for name in sorted(zones if zones is not None else available_timezones()):
-        try:
-            spans = zone_intervals(name, first_year, last_year)
-        except Exception:  # a name the tz database doesn't know
-            continue
-        k = 0
+def zone_table(spark: SparkSession, zones: list[str], first_year: int = 1990, last_year: int = 2045) -> DataFrame:
+    """One row per zone and local year (the intervals exploded to the years they touch), with the intervals in
+    order of time.  Bounds are *local* seconds: where clocks go back two intervals overlap, where they go forward
+    a gap is left.  Rows: at most the names of the tz database (about 600) times the years, whatever the data."""
+    known, rows = available_timezones(), []
+    for name in sorted(set(zones) & known):
+        local = [(f + o, t + o, o) for f, t, o in zone_intervals(name, first_year, last_year)]
         for y in range(first_year, last_year + 1):
-            for m in range(1, 13):
-                a = _secs(dt.datetime(y, m, 1, tzinfo=_UTC))
-                b = _secs(dt.datetime(y + m // 12, m % 12 + 1, 1, tzinfo=_UTC))
-                while k + 1 < len(spans) and spans[k][1] + spans[k][2] + 86_400 * 2 < a:
-                    k += 1
-                near = [(f + o, t + o, o) for f, t, o in spans[k : k + 4] if f + o < b + 86_400 and t + o > a - 86_400]
-                rows.append((name, y * 12 + m - 1, near))
+            a, b = _secs(dt.datetime(y, 1, 1, tzinfo=_UTC)), _secs(dt.datetime(y + 1, 1, 1, tzinfo=_UTC))
+            rows.append((name, y, [x for x in local if x[0] < b + 2 * 86_400 and x[1] > a - 2 * 86_400]))
     span = T.StructType([T.StructField(n, T.LongType()) for n in ("local_from", "local_to", "offset")])
-    schema = T.StructType([T.StructField("zone", T.StringType()), T.StructField("month", T.IntegerType()), T.StructField("spans", T.ArrayType(span))])
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(
+        rows, T.StructType([T.StructField("zone", T.StringType()), T.StructField("local_year", T.IntegerType()), T.StructField("spans", T.ArrayType(span))])
+    )
