@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Query parameters that tell a campaign, not an article (fixed values; a trailing * stands for any ending).
@@ -12,7 +12,7 @@ NUMBER_PARAMETERS = ["id", "p", "aid", "nid", "article", "articleid", "article_i
 #: Digits from which a number names an article.
 LEAST_DIGITS = 7
 
-SPACE = r"[\s\x00-\x20\x7f\u0085  -​    　﻿]"
+SPACE = r"[\x00-\x20\x7f\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _FOREST = r"(?i)^(?:https?:)?//(?:[^/?#@]*@)?"
 
 
@@ -35,22 +35,28 @@ def _decode(c: Column) -> Column:
     return F.when(c.contains("%"), F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)).otherwise(c)
 
 
-def article_of(address: Column) -> Column:
-    """What names the article on its site: ``n`` and its number, else ``p`` and its path; null for a front page.
+def with_article(df: DataFrame, text: str, prefix: str = "__a_") -> DataFrame:
+    """``df`` with ``{prefix}site`` and ``{prefix}article``: what names the article on its site, ``n`` and its number,
+    else ``p`` and its path; null for a front page and for what is no address.
 
     Fragments, campaign parameters, escapes, letter case, doubled and trailing slashes and AMP or mobile parts of
-    the path don't matter.
+    the path don't matter.  The steps are columns of their own, so that each is computed once.
     """
-    rest = F.regexp_replace(F.regexp_replace(strip_space(address), _FOREST + r"[^/?#]*", ""), r"#.*$", "")
-    path = F.lower(_decode(F.regexp_extract(rest, r"^([^?]*)", 1)))
-    path = F.regexp_replace(path, r"/{2,}", "/")
-    path = F.regexp_replace(path, r"^/(?:amp|m|mobile)(?=/)|(?:/amp|/index\.\w{3,5}|/default\.aspx?|/+)*$", "")
+    c = lambda n: F.col(prefix + n)
     params = "|".join(p.replace("*", "[^=&]*") for p in CAMPAIGN_PARAMETERS)
-    query = F.regexp_replace(_decode(F.regexp_extract(rest, r"\?(.*)$", 1)), rf"(?i)(?:^|&)(?:{params})=[^&]*", "")
     digits = rf"(?<!\d)(\d{{{LEAST_DIGITS},}})(?!\d)"
-    number = F.coalesce(
-        F.nullif(F.regexp_extract(query, rf"(?i)(?:^|&)(?:{'|'.join(NUMBER_PARAMETERS)})=(\d{{{LEAST_DIGITS},}})(?!\d)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(path, rf"^.*{digits}", 1), F.lit("")),
-        F.nullif(F.regexp_extract(query, digits, 1), F.lit("")),
+    named = rf"(?i)(?:^|&)(?:{'|'.join(NUMBER_PARAMETERS)})=(\d{{{LEAST_DIGITS},}})(?!\d)"
+    some = lambda x: F.nullif(x, F.lit(""))
+    df = df.withColumn(prefix + "url", F.when(is_address(F.col(text)), F.col(text)))
+    df = df.withColumns({prefix + "site": site_of(c("url")), prefix + "rest": F.regexp_replace(F.regexp_replace(c("url"), _FOREST + r"[^/?#]*", ""), r"#.*$", "")})
+    df = df.withColumns({prefix + "path": F.regexp_extract(c("rest"), r"^([^?]*)", 1), prefix + "query": F.regexp_extract(c("rest"), r"\?(.*)$", 1)})
+    df = df.withColumns({prefix + n: _decode(c(n)) for n in ("path", "query")})
+    df = df.withColumns(
+        {
+            prefix + "path": F.regexp_replace(F.regexp_replace(F.lower(c("path")), r"/{2,}", "/"), r"^/(?:amp|m|mobile)(?=/)|(?:/amp|/index\.\w{3,5}|/default\.aspx?|/+)*$", ""),
+            prefix + "query": F.regexp_replace(c("query"), rf"(?i)(?:^|&)(?:{params})=[^&]*", ""),
+        }
     )
-    return F.coalesce(F.concat(F.lit("n"), number), F.concat(F.lit("p"), F.nullif(path, F.lit(""))))
+    number = F.coalesce(some(F.regexp_extract(c("query"), named, 1)), some(F.regexp_extract(c("path"), "^.*" + digits, 1)), some(F.regexp_extract(c("query"), digits, 1)))
+    df = df.withColumn(prefix + "article", F.coalesce(F.concat(F.lit("n"), number), F.concat(F.lit("p"), some(c("path")))))
+    return df.drop(*[prefix + n for n in ("url", "rest", "path", "query")])

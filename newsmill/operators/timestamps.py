@@ -70,7 +70,7 @@ def month_numbers() -> dict[str, int]:
 
 def tidy(text: Column) -> Column:
     """White space of any kind to single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"[\s\u0085   -​    　﻿]+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+", " "))
 
 
 def date_parts(text: Column) -> Column:
