@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, repetition
+from . import bpe, history, packing, repetition
 
 QUERIES = {
+    "p1_found": history.p1_found,
     "p8_ids": bpe.p8_ids,
+    "p9_containers": packing.p9_containers,
     "p10_found": repetition.p10_found,
     "p10_ablation": repetition.p10_ablation,
 }
