@@ -8,6 +8,7 @@ only reads the ledger.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,38 +33,40 @@ POLICIES = {1: 0b00001, 2: 0b00111, 3: 0b11111}
 _MEASURES = [m for _, m, _ in RULES]
 
 _SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー]")
-_NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
+_NO_LETTER = regex.compile(r"[^\p{L}\p{M}\s]+")
 
 
 def _units(text: str) -> tuple[list[str], int]:
     """The words of a text, or its letters where most are of a script without spaces; and the passage's length."""
-    text = unicodedata.normalize("NFKC", text).casefold()
-    letters = _NO_LETTER.sub("", text)
-    if len(_SPACELESS.findall(letters)) * 2 > len(letters):
-        return list(letters), PASSAGE_LETTERS
-    return [w for w in (_NO_LETTER.sub("", x) for x in text.split()) if w], PASSAGE_WORDS
+    words = _NO_LETTER.sub("", unicodedata.normalize("NFKC", text).casefold()).split()
+    if not text.isascii():
+        letters = "".join(words)
+        if len(_SPACELESS.findall(letters)) * 2 > len(letters):
+            return list(letters), PASSAGE_LETTERS
+    return words, PASSAGE_WORDS
 
 
-def passage_share(text: str | None) -> float:
-    """Characters of words in passages that occurred before in the text, over the characters of all words; 0 where
-    there is no word.  Passages may overlap; a character counts once."""
-    if not text:
-        return 0.0
-    units, n = _units(text)
-    total = sum(map(len, units))
+def _repeated(units: list[str], n: int) -> float:
     if len(units) <= n:
         return 0.0
-    seen: set[int | tuple] = set()
+    grams = list(zip(*(units[i:] for i in range(n))))
+    if len(set(grams)) == len(grams):
+        return 0.0
+    seen: set[tuple[str, ...]] = set()
     repeated, until = 0, 0  # until: first unit that isn't counted yet
-    for i in range(len(units) - n + 1):
-        gram = tuple(units[i : i + n])
+    for i, gram in enumerate(grams):
         if gram in seen:
-            start = max(i, until)
-            repeated += sum(map(len, units[start : i + n]))
+            repeated += sum(map(len, units[max(i, until) : i + n]))
             until = i + n
         else:
             seen.add(gram)
-    return repeated / total
+    return repeated / sum(map(len, units))
+
+
+def passage_share(text: str | None) -> float:
+    """Characters of words in passages that occurred before in the text, over the characters of all words; 0 where
+    there is no word.  Passages may overlap; a character counts once."""
+    return _repeated(*_units(text)) if text else 0.0
 
 
 def _share_again(parts: list[str]) -> float:
@@ -80,13 +83,11 @@ def _share_again(parts: list[str]) -> float:
 def _measure(text: str | None) -> tuple[float, ...]:
     if not text or not text.strip():
         return (0.0,) * len(RULES)
-    units, _ = _units(text)
-    counts: dict[str, int] = {}
-    for u in units:
-        counts[u] = counts.get(u, 0) + 1
+    units, n = _units(text)
+    counts = Counter(units)
     top = max(counts.values()) / len(units) if len(units) >= 20 else 0.0
     few = 1 - len(counts) / len(units) if len(units) >= 20 else 0.0
-    return passage_share(text), _share_again(text.splitlines()), _share_again(regex.split(r"\n\s*\n", text)), top, few
+    return _repeated(units, n), _share_again(text.splitlines()), _share_again(regex.split(r"\n\s*\n", text)), top, few
 
 
 def ledger(df: DataFrame, key: str, text: str) -> DataFrame:
