@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, history, packing, repetition
+from . import bpe, history, packing, repetition, truncation
 
 QUERIES = {
     "p1_found": history.p1_found,
+    "p3_found": truncation.p3_found,
+    "p3_shares": truncation.p3_shares,
     "p8_ids": bpe.p8_ids,
     "p9_containers": packing.p9_containers,
     "p10_found": repetition.p10_found,
