@@ -29,8 +29,8 @@ _CLOSERS = "\"”“„»«’‘')\\]」』›"
 _ENTITY_QUOTES = r"&(?:rsquo|lsquo|rdquo|ldquo|quot|raquo|laquo|bdquo|apos|#39|#34|#8216|#8217|#8220|#8221|#8222|#171|#187|#x201[89cd]);"
 _OMISSION = r"(?:\[\s*(?:\.\.\.|…|&hellip;|&#8230;)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\.\.\.|…|&hellip;|&#8230;)\s*$"
 _TORN = r"(?:<[A-Za-z/!][^<>]{0,400}|<|&#?[A-Za-z0-9]{1,8}|&#?|\bhttps?:/{0,2}|\bhttps?://[^\s./]*)$"
-_STOP = rf"[.!?。！？](?:[{_CLOSERS}\s]|[^\sA-Za-z0-9.!?。]){{0,14}}$"
-
+#: A final stop, maybe with closing marks behind it, be they garbled.
+_STOP = rf"[.!?。！？](?:[{_CLOSERS}\s]*|[ÂâÃĂΓ‚\x80-\x9f�][^\sA-Za-z0-9.!?。]{{0,14}})$"
 #: A sentence begun behind a finished one on the same line; signatures (behind a dash) and addresses are none.
 _BEGUN = rf"[.!?。！？][{_CLOSERS}]*+[^\S\r\n]*+(?![–—|•·<-]|https?:|\s|$)[^.!?。！？\r\n|•·»{{}}]+$"
 #: Words after which a line or sentence ends, as _normal() gives them.
