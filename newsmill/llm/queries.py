@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, history, packing, repetition, truncation
+from . import boilerplate, bpe, history, packing, repetition, truncation
 
 QUERIES = {
     "p1_found": history.p1_found,
     "p3_found": truncation.p3_found,
     "p3_shares": truncation.p3_shares,
+    "p4_found": boilerplate.p4_found,
+    "p4_blocks": boilerplate.p4_blocks,
+    "p4_cleaned": boilerplate.p4_cleaned,
     "p8_ids": bpe.p8_ids,
     "p9_containers": packing.p9_containers,
     "p10_found": repetition.p10_found,
