@@ -37,19 +37,19 @@ _BEGUN = rf"[.!?。！？][{_CLOSERS}]*+[^\S\r\n]*+(?![–—|•·<-]|https?:|\
 _CLOSING = [".", "!", "?", "。", "！", "？", "¶", "(", "|"]
 
 
-def _normal(text: Column) -> Column:
-    """Words and marks apart by blanks: tags gone, addresses U, names N, figures 9, line ends ¶."""
-    t = F.regexp_replace(text, r"</?[A-Za-z][^<>]*>", " ")
-    t = F.regexp_replace(t, _ENTITY_QUOTES, "’")
-    t = F.regexp_replace(t, r"https?://\S+", " u ")
-    t = F.regexp_replace(t, r"\s*[\r\n]\s*", " ¶ ")
-    t = F.regexp_replace(t, r"\p{Lu}[\p{L}\p{M}’'-]*(?:\s+\p{Lu}[\p{L}\p{M}’'-]*)*", "N")
-    t = F.regexp_replace(t, r"[\p{L}\d]*\d[\p{L}\d]*", "9")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"([^\p{L}\p{M}\d\s’'-]|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", " $1 "), r"\s+", " "))
+def _words(text: Column) -> Column:
+    """Words and marks: tags gone, addresses u, names N, figures 9, line ends ¶."""
+    t = F.when(text.contains("<"), F.regexp_replace(text, r"</?[A-Za-z][^<>]*+>", " ")).otherwise(text)
+    t = F.when(t.contains("&"), F.regexp_replace(t, _ENTITY_QUOTES, "’")).otherwise(t)
+    t = F.when(t.contains("http"), F.regexp_replace(t, r"https?://\S++", " u ")).otherwise(t)
+    t = F.when(t.contains("\n"), F.regexp_replace(t, r"\s*+[\r\n]\s*+", " ¶ ")).otherwise(t)
+    t = F.regexp_replace(t, r"\p{Lu}[\p{L}\p{M}’'-]*+(?:\s++\p{Lu}[\p{L}\p{M}’'-]*+)*+", "N")
+    t = F.regexp_replace(t, r"([^\p{L}\p{M}\d\s’'-]|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", " $1 ")
+    return F.split(F.trim(F.regexp_replace(t, r"\d++", "9")), r"\s++")
 
 
-def _hash(words: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + i) for i in range(n)])
+def _pair(words: Column, at: Column) -> Column:
+    return F.xxhash64(F.get(words, at), F.get(words, at + 1))
 
 
 def texts_of(items: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -64,36 +64,37 @@ def truncated(texts: DataFrame) -> DataFrame:
     One row for each row; null, empty and blank texts and texts of one or two words without a mark are not cut; rows
     that come again get the same answer each time.  Extra columns are ignored.
     """
-    t = texts.select("record_type", "record_id", "source_id", F.regexp_replace("text", r"\s+$", "").alias("text"))
-    bare = F.regexp_replace("text", r"(?:\s*</?[A-Za-z][^<>]*>)+\s*$", "")
-    t = t.withColumns({"n_chars": F.length("text"), "n_bytes": F.octet_length("text"), "bare": bare, "words": F.split(_normal(F.col("text")), " ")})
-    t = t.withColumns({
-        "marked": F.col("bare").rlike(_OMISSION),
-        "torn": F.col("text").rlike(_TORN),
-        "stopped": F.regexp_replace("bare", _ENTITY_QUOTES, "”").rlike(_STOP),
-        "begun": F.col("bare").rlike(_BEGUN),
-        "n": F.size("words"),
-    })
-    # All trigrams but the last, as a hash whose lowest bit tells that a sentence or line ends there.
+    text = F.col("text")
+    t = texts.select("record_type", "record_id", "source_id", F.regexp_replace("text", r"\s++$", "").alias("text"))
+    # Inside: all trigrams but the last, as the hash of two words and that of the third, whose lowest bit tells that a
+    # sentence or line ends behind it.
     w, n = F.col("words"), F.col("n")
     closes = lambda i: F.get(w, i + 3).isin(*_CLOSING).cast("bigint")
-    grams = t.where("n >= 4").select(F.explode(F.transform(F.sequence(F.lit(0), n - 4), lambda i: F.shiftleft(_hash(w, i, 3), 1).bitwiseOR(closes(i)))).alias("h"))
-    inside = grams.groupBy(F.shiftright("h", 1).alias("h3")).agg(F.sum(1 - F.col("h").bitwiseAND(1)).alias("inside"), F.sum(F.col("h").bitwiseAND(1)).alias("closed"))
-    pairs = t.where("n >= 3").select(F.explode(F.transform(F.sequence(F.lit(0), n - 3), lambda i: _hash(w, i, 2))).alias("h2"))
-    follows = pairs.groupBy("h2").agg(F.count("*").alias("follows"))
-    last = t.select(
-        "record_type", "record_id", "source_id", "n_chars", "n_bytes", "marked", "torn", "stopped", "begun",
-        F.when(n >= 3, F.shiftright(F.shiftleft(_hash(w, n - 3, 3), 1), 1)).alias("h3"),
-        F.when(n >= 3, _hash(w, n - 3, 2)).alias("h2"),
-        (F.get(w, n - 1) == "u").alias("address"), (F.get(w, n - 1) == "9").alias("figure"),
-        F.xxhash64("text").alias("same"),
+    third = lambda i: F.shiftleft(F.xxhash64(F.get(w, i + 2)), 1)
+    gram = lambda i: F.struct(_pair(w, i).alias("h2"), third(i).bitwiseOR(closes(i)).alias("h1"))
+    grams = t.select(_words(text).alias("words")).withColumn("n", F.size("words")).where("n >= 4")
+    grams = grams.select(F.explode(F.transform(F.sequence(F.lit(0), n - 4), gram)).alias("g")).groupBy("g.h2", "g.h1").agg(F.count("*").alias("k"))
+    open_bit = F.col("h1").bitwiseAND(1)
+    inside = grams.groupBy("h2", F.shiftright("h1", 1).alias("h3")).agg(F.sum(F.col("k") * (1 - open_bit)).alias("inside"), F.sum(F.col("k") * open_bit).alias("closed"))
+    inside = cut(inside)
+    follows = inside.groupBy("h2").agg(F.sum(F.col("inside") + F.col("closed")).alias("follows"))
+    # The end: flags see the last line, the last trigram the last three lines (which hold three words).
+    line = F.substring_index("text", "\n", -1)
+    t = t.withColumns({"n_chars": F.length("text"), "n_bytes": F.octet_length("text"), "line": line, "words": _words(F.substring_index("text", "\n", -3)), "same": F.xxhash64("text")}).drop("text")
+    t = t.withColumn("bare", F.when(F.col("line").endswith(">"), F.regexp_replace("line", r"(?:\s*+</?[A-Za-z][^<>]*+>)+$", "")).otherwise(F.col("line")))
+    last = t.withColumn("n", F.size("words")).select(
+        "record_type", "record_id", "source_id", "n_chars", "n_bytes", "same",
+        F.col("bare").rlike(_OMISSION).alias("marked"), F.col("line").rlike(_TORN).alias("torn"),
+        F.regexp_replace("bare", _ENTITY_QUOTES, "”").rlike(_STOP).alias("stopped"), F.col("bare").rlike(_BEGUN).alias("begun"),
+        F.when(n >= 3, _pair(w, n - 3)).alias("h2"), F.when(n >= 3, F.shiftright(F.shiftleft(F.xxhash64(F.get(w, n - 1)), 1), 1)).alias("h3"),
+        (F.get(w, n - 1) == "u").alias("address"), F.col("bare").rlike(r"\d[\p{L}\d]*$").alias("figure"),
     )
     last = cut(last)
     open_ = last.where("not stopped and not marked and not torn")
     ends = open_.select("h3", "h2", "same").distinct()
-    by3 = ends.where("h3 is not null").groupBy("h3").agg(F.count("*").alias("ends")).join(inside, "h3", "left")
+    by3 = ends.where("h3 is not null").groupBy("h2", "h3").agg(F.count("*").alias("ends")).join(inside, ["h2", "h3"], "left")
     by2 = ends.where("h2 is not null").groupBy("h2").agg(F.count("*").alias("ends2")).join(follows, "h2", "left")
-    open_ = open_.join(by3, "h3", "left").join(by2, "h2", "left")
+    open_ = open_.join(by3, ["h2", "h3"], "left").join(by2, "h2", "left")
     # Limits of a source: lengths that texts without a stop pile up at; sources x lengths rows at most.
     known = []
     for unit in ("n_chars", "n_bytes"):
