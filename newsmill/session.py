@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,21 @@ def get_spark(app: str = "newsmill", cores: str | int = "*", **conf: str) -> Spa
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package on one machine, where it isn't on PYTHONPATH (a cluster gets it by
+    PYTHONPATH or --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster") or getattr(sc, "_newsmill_shipped", False):
+        return
+    sc._newsmill_shipped = True
+    if root not in [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]:
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="newsmill-"), "newsmill"), "zip", root, "newsmill"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
