@@ -29,20 +29,19 @@ def line_key(line: Column) -> Column:
 
 
 def lines_of(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
-    """(key, site, line_no, node): the lines of each text that aren't blank, numbered from 1 with blank ones; node is
+    """(key, line_no, node): the lines of each text that aren't blank, numbered from 1 with blank ones; node is
     the hash of site and line.  Texts without a site (no address) share none with others and give no row."""
     t = pages.select(F.col(key), site_of(F.col(url)).alias("site"), F.split(text, "\n").alias("all"))
     t = t.select(key, "site", F.posexplode("all").alias("at", "line")).withColumn("line", line_key(F.col("line")))
     node = F.when((F.col("line") != "") & F.col("site").isNotNull(), F.xxhash64("site", "line"))
-    return t.select(key, "site", (F.col("at") + 1).alias("line_no"), node.alias("node"))
+    return t.select(key, (F.col("at") + 1).alias("line_no"), node.alias("node")).where("node is not null")
 
 
 def blocks(lines: DataFrame, key: str, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """(node, support, block) of the kept nodes and (a, b, support) of the kept edges; ``block`` is the least node of
     its component."""
-    named = lines.where("node is not null")
-    nodes = cut(named.groupBy("node", key).agg(F.lit(1).alias("one")).groupBy("node").agg(F.count("*").alias("support")).where(F.col("support") >= support))
-    kept = named.join(nodes.select("node"), "node", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "node"))).alias("run"))
+    nodes = cut(lines.groupBy("node", key).agg(F.lit(1).alias("one")).groupBy("node").agg(F.count("*").alias("support")).where(F.col("support") >= support))
+    kept = lines.join(nodes.select("node"), "node", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "node"))).alias("run"))
     n = F.size("run")
     pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.get("run", i).node.alias("a"), F.get("run", i + 1).node.alias("b"), (F.get("run", i + 1).line_no - F.get("run", i).line_no).alias("gap")))
     edges = kept.where(n >= 2).select(key, F.explode(pairs).alias("e")).select(key, "e.*").where("gap <= 2 and a <> b")
@@ -67,7 +66,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def occurrences(lines: DataFrame, found: DataFrame) -> DataFrame:
     """Lines that belong to a block, with it.  ``found`` holds one row a repeated line."""
-    return lines.where("node is not null").join(found.select("node", "support", "block"), "node")
+    return lines.join(found.select("node", "support", "block"), "node")
 
 
 def without_blocks(pages: DataFrame, key: str, text: str, at: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def repeated_lines(pages: DataFrame, key: str, url: str, text: str, support: int
     Null and empty texts, blank lines and texts without an address give no row; a document that comes twice under one
     key counts once for its lines' support; extra columns are ignored.
     """
-    lines = lines_of(pages, key, url, text)
+    lines = cut(lines_of(pages, key, url, text))
     found, _ = blocks(lines, key, support)
     return occurrences(lines, found).select(key, "line_no", "block", "support")
 
@@ -100,7 +99,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks by their number of lines and least and greatest support."""
-    found, _ = blocks(lines_of(_pages(spark, sf_dir), "extraction_id", "resolved_url", "body_text"), "extraction_id")
+    found, _ = blocks(cut(lines_of(_pages(spark, sf_dir), "extraction_id", "resolved_url", "body_text")), "extraction_id")
     return found.groupBy("block").agg(F.count("*").alias("n_lines"), F.min("support").alias("least_support"), F.max("support").alias("most_support"))
 
 
