@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boilerplate, bpe, history, maintext, packing, repetition, truncation
+from . import boilerplate, bpe, encoding, history, maintext, packing, repetition, truncation
 
 QUERIES = {
     "p1_found": history.p1_found,
@@ -12,6 +12,9 @@ QUERIES = {
     "p4_blocks": boilerplate.p4_blocks,
     "p4_cleaned": boilerplate.p4_cleaned,
     "p5_found": maintext.p5_found,
+    "p6_found": encoding.p6_found,
+    "p6_repaired": encoding.p6_repaired,
+    "p6_letters": encoding.p6_letters,
     "p8_ids": bpe.p8_ids,
     "p9_containers": packing.p9_containers,
     "p10_found": repetition.p10_found,
