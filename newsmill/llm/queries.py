@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import boilerplate, bpe, encoding, history, maintext, packing, repetition, truncation
+from . import boilerplate, bpe, encoding, history, maintext, packing, repetition, residue, truncation
 
 QUERIES = {
     "p1_found": history.p1_found,
+    "p2_found": residue.p2_found,
     "p3_found": truncation.p3_found,
     "p3_shares": truncation.p3_shares,
     "p4_found": boilerplate.p4_found,
