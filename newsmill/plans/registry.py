@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 from ..operators import timestamps
+from . import url_plans
 
+_PLANS = [url_plans]
 QUERIES = {"p7_found": timestamps.p7_found}
 ORACLE: dict[str, str] = {}
+for _p in _PLANS:
+    QUERIES |= _p.QUERIES
+    ORACLE |= _p.ORACLE
