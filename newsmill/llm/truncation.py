@@ -65,29 +65,39 @@ def truncated(texts: DataFrame) -> DataFrame:
     that come again get the same answer each time.  Extra columns are ignored.
     """
     text = F.col("text")
-    t = texts.select("record_type", "record_id", "source_id", F.regexp_replace("text", r"\s++$", "").alias("text"))
+    t = texts.select("record_type", "record_id", "source_id", F.rtrim(text, F.lit(" \t\r\n\f\u00a0\u3000")).alias("text"))
     # Inside: all trigrams but the last, as the hash of two words and that of the third, whose lowest bit tells that a
     # sentence or line ends behind it.
     w, n = F.col("words"), F.col("n")
     closes = lambda i: F.get(w, i + 3).isin(*_CLOSING).cast("bigint")
     third = lambda i: F.shiftleft(F.xxhash64(F.get(w, i + 2)), 1)
     gram = lambda i: F.struct(_pair(w, i).alias("h2"), third(i).bitwiseOR(closes(i)).alias("h1"))
-    grams = t.select(_words(text).alias("words")).withColumn("n", F.size("words")).where("n >= 4")
+    # explode(array(x)) keeps the words from being made anew for each use of them.
+    grams = t.select(F.explode(F.array(_words(text))).alias("words")).withColumn("n", F.size("words")).where("n >= 4")
     grams = grams.select(F.explode(F.transform(F.sequence(F.lit(0), n - 4), gram)).alias("g")).groupBy("g.h2", "g.h1").agg(F.count("*").alias("k"))
     open_bit = F.col("h1").bitwiseAND(1)
     inside = grams.groupBy("h2", F.shiftright("h1", 1).alias("h3")).agg(F.sum(F.col("k") * (1 - open_bit)).alias("inside"), F.sum(F.col("k") * open_bit).alias("closed"))
     inside = cut(inside)
     follows = inside.groupBy("h2").agg(F.sum(F.col("inside") + F.col("closed")).alias("follows"))
-    # The end: flags see the last line, the last trigram the last three lines (which hold three words).
-    line = F.substring_index("text", "\n", -1)
-    t = t.withColumns({"n_chars": F.length("text"), "n_bytes": F.octet_length("text"), "line": line, "words": _words(F.substring_index("text", "\n", -3)), "same": F.xxhash64("text")}).drop("text")
-    t = t.withColumn("bare", F.when(F.col("line").endswith(">"), F.regexp_replace("line", r"(?:\s*+</?[A-Za-z][^<>]*+>)+$", "")).otherwise(F.col("line")))
-    last = t.withColumn("n", F.size("words")).select(
-        "record_type", "record_id", "source_id", "n_chars", "n_bytes", "same",
-        F.col("bare").rlike(_OMISSION).alias("marked"), F.col("line").rlike(_TORN).alias("torn"),
-        F.regexp_replace("bare", _ENTITY_QUOTES, "”").rlike(_STOP).alias("stopped"), F.col("bare").rlike(_BEGUN).alias("begun"),
+    # The end: flags see the last line, the last trigram of a text without a stop its last three lines (they hold three
+    # words).
+    t = t.select(
+        "record_type", "record_id", "source_id", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("same"),
+        F.substring_index("text", "\n", -1).alias("line"), F.substring_index("text", "\n", -3).alias("tail"),
+    )
+    line = F.col("line")
+    t = t.withColumn("bare", F.when(line.endswith(">"), F.regexp_replace(line, r"(?:\s*+</?[A-Za-z][^<>]*+>)+$", "")).otherwise(line))
+    bare = F.col("bare")
+    t = t.withColumns({
+        "marked": bare.rlike(_OMISSION), "torn": line.rlike(_TORN), "stopped": F.when(bare.contains("&"), F.regexp_replace(bare, _ENTITY_QUOTES, "”")).otherwise(bare).rlike(_STOP),
+        "begun": bare.rlike(_BEGUN), "figure": bare.rlike(r"\d[\p{L}\d]*$"),
+    })
+    is_open = ~F.col("stopped") & ~F.col("marked") & ~F.col("torn")
+    t = t.select("*", F.explode(F.array(F.when(is_open, _words(F.col("tail"))))).alias("words")).withColumn("n", F.size("words"))
+    last = t.select(
+        "record_type", "record_id", "source_id", "n_chars", "n_bytes", "same", "marked", "torn", "stopped", "begun", "figure",
         F.when(n >= 3, _pair(w, n - 3)).alias("h2"), F.when(n >= 3, F.shiftright(F.shiftleft(F.xxhash64(F.get(w, n - 1)), 1), 1)).alias("h3"),
-        (F.get(w, n - 1) == "u").alias("address"), F.col("bare").rlike(r"\d[\p{L}\d]*$").alias("figure"),
+        (F.get(w, n - 1) == "u").alias("address"),
     )
     last = cut(last)
     open_ = last.where("not stopped and not marked and not torn")
