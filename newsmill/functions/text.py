@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Lines that are page furniture by how they begin (fixed values).
 BOILERPLATE_LINES = [
@@ -125,18 +126,24 @@ def repair_mojibake_text(s: str | None) -> str | None:
     return s
 
 
-@F.pandas_udf("string")
-def repair_mojibake(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _repair(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(repair_mojibake_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
-def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(html.unescape, na_action="ignore")
 
 
+def repair_mojibake(c: Column | str) -> Column:
+    return F.pandas_udf(_repair, StringType())(c)
+
+
+def unescape(c: Column | str) -> Column:
+    return F.pandas_udf(_unescape, StringType())(c)
+
+
 def decode_named_entities(c: Column) -> Column:
     """Named entities of ENTITIES; ``&amp;`` last, so that nothing is decoded twice."""
     for name, to in ENTITIES.items():

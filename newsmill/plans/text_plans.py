@@ -136,7 +136,7 @@ _FRESH = f"""CASE WHEN published_at IS NULL THEN 'missing_published_at' WHEN pub
     WHEN TIMESTAMP '{NOW}' - published_at > INTERVAL 7 DAY THEN 'outside_retention_window' END"""
 
 
-@query(f"SELECT doc_id, {_FRESH.replace('published_at', 'CAST(published_at AS TIMESTAMP)')} AS reason FROM documents")
+@query(f"SELECT doc_id, {_FRESH} AS reason FROM (SELECT doc_id, CAST(published_at AS TIMESTAMP) AS published_at FROM documents)")
 def retention_reason(spark, sf):
     """Why a document isn't fresh at NOW; null if it is."""
     now, p = F.lit(NOW).cast("timestamp"), F.col("published_at").cast("timestamp")
