@@ -33,7 +33,7 @@ def fold(outcomes: DataFrame) -> DataFrame:
     o = o.withColumn("before", before).withColumn("epoch", F.count_if(c("kind") == "s").over(order))
     double = F.pow(F.lit(2), F.least(c("before"), F.lit(DOUBLINGS)))
     wait = F.when(c("kind") == "a", F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce("wait", F.lit(FALLBACK))))).when((c("kind") == "f") & (c("before") + 1 >= FORBIDDEN_RUNS), F.lit(FORBIDDEN))
-    o = o.withColumn("until", c("ts") + F.least(F.lit(MOST), wait * double))
+    o = o.withColumn("asked", wait).withColumn("until", F.when(c("asked").isNotNull(), c("ts") + F.least(F.lit(MOST), c("asked") * double)))
     last = o.groupBy("domain").agg(F.max(F.struct("ts", "id", "kind", "before", "epoch", "run")).alias("l"))
     cool = o.groupBy("domain", "epoch").agg(F.max("until").alias("until"))
     n = lambda k: F.when(c("l.kind") == k, c("l.before") + 1).otherwise(0)
