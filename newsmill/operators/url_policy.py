@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import once
+
 #: Signals against an article (fixed values): reason, then label, weight and pattern of the path.
 NEGATIVE = {
     "media_clip_path": [
@@ -52,26 +54,26 @@ def signals() -> list[tuple[str, int, str, str | None]]:
     return neg + [(f"pos:{label}", w, p, None) for label, w, p, _ in POSITIVE]
 
 
-def judge(path: Column, query: Column) -> tuple[Column, Column]:
-    """(accepted, reason) of the path and query of an http address; both null for null paths.
+def judged(df: DataFrame, path: str, query: str) -> DataFrame:
+    """``df`` with (accepted, reason) for the path and query of an http address; null paths are invalid.
 
-    ``path`` as it stands in the address.  The first of these counts: a front page, a search, a feed, no negative
-    signal, a dominating one against strong positive ones, strong positive ones, the sum.
+    The first of these counts: a front page, a search, a feed, no negative signal, a dominating one against strong
+    positive ones, strong positive ones, the sum.  Each pattern is tried once for a row.
     """
-    p = F.lower(F.regexp_replace(path, r"/+$", ""))
-    q = F.lower(query)
-    neg = [(w, reason, p.rlike(pat)) for _, w, pat, reason in signals() if reason]
-    pos = [(w, p.rlike(pat), real) for _, w, pat, real in POSITIVE]
-    total = lambda rows: sum((F.when(hit, w).otherwise(0) for w, hit in rows), F.lit(0))
-    against, in_favour = total([(w, hit) for w, _, hit in neg]), total([(w, hit) for w, hit, _ in pos])
-    real = total([(w, hit) for w, hit, r in pos if r])
-    worst = F.least(*[F.when(hit, w).otherwise(0) for w, _, hit in neg])
-    reason = F.lit(None).cast("string")
-    for w, why, hit in sorted(neg, key=lambda x: x[0], reverse=True):
-        reason = F.when(hit, why).otherwise(reason)
-    kept = (worst == 0) | ((worst <= STRONG_NEGATIVE) & (real >= OVERRIDE_STRONG)) | ((worst > STRONG_NEGATIVE) & ((in_favour >= OVERRIDE) | (against + in_favour >= 0)))
-    why = F.when(path.isNull(), "invalid_url").when(p == "", "utility_path").when(q.rlike(SEARCH) & ~q.rlike(NO_SEARCH), "search_or_query_page").when(q.rlike(FEED), "feed_or_archive_path").when(~kept, reason)
-    return why.isNull(), why
+    c = F.col
+    df = once(df, __p=F.lower(F.regexp_replace(path, r"/+$", "")), __q=F.lower(query))
+    real = {f"pos:{label}" for label, _, _, strong in POSITIVE if strong}
+    kind = "struct<w:int,reason:string,real:boolean>"
+    hits = F.array_compact(F.array(*[F.when(c("__p").rlike(pat), F.struct(F.lit(w).alias("w"), F.lit(why).cast("string").alias("reason"), F.lit(label in real).alias("real")).cast(kind)) for label, w, pat, why in signals()]))
+    df = once(df, __hits=hits)
+    total = lambda keep: F.aggregate(F.filter("__hits", keep), F.lit(0), lambda a, x: a + x.w)
+    df = once(df, __against=total(lambda x: x.w < 0), __for=total(lambda x: x.w > 0), __real=total(lambda x: x.real), __worst=F.array_min(F.filter("__hits", lambda x: x.w < 0).getField("w")))
+    worst = F.coalesce("__worst", F.lit(0))
+    kept = (worst == 0) | ((worst <= STRONG_NEGATIVE) & (c("__real") >= OVERRIDE_STRONG)) | ((worst > STRONG_NEGATIVE) & ((c("__for") >= OVERRIDE) | (c("__against") + c("__for") >= 0)))
+    dominant = F.get(F.filter("__hits", lambda x: x.w == c("__worst")), F.lit(0)).reason
+    searched = c("__q").rlike(SEARCH) & ~c("__q").rlike(NO_SEARCH)
+    why = F.when(c(path).isNull(), "invalid_url").when(c("__p") == "", "utility_path").when(searched, "search_or_query_page").when(c("__q").rlike(FEED), "feed_or_archive_path").when(~kept, dominant)
+    return once(df, reason=why).withColumn("accepted", c("reason").isNull()).drop("__p", "__q", "__hits", "__against", "__for", "__real", "__worst")
 
 
 def with_matches(paths: Column) -> Column:

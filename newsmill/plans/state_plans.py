@@ -42,8 +42,7 @@ def _policy_sql() -> str:
 @query(_policy_sql())
 def url_policy(spark, sf):
     t = U.with_url(table(spark, sf, "feed_items").select("item_id", "link"), "link")
-    accepted, why = P.judge(c("u_path"), c("u_query"))
-    return t.select("item_id", accepted.alias("accepted"), why.alias("reason"))
+    return P.judged(t, "u_path", "u_query").select("item_id", "accepted", "reason")
 
 
 def url_policy_signals(spark, sf):

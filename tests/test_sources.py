@@ -54,9 +54,8 @@ def test_urls(spark):
 
 def test_url_policy(spark):
     cases = {"/": "utility_path", "/tag/x": "listing_or_topic_path", "/2023/01/02/a-b-c-d-e-f.html": None, "/video/2023/01/02/one-two-three-four-five": None, "/login": "account_or_private_path", "/a": None, "/tag/2023/01/02/news/some-long-slug-of-words.html": None}
-    df = spark.createDataFrame([(k,) for k in cases], "p string")
-    _, why = P.judge(F.col("p"), F.lit(""))
-    assert {r[0]: r[1] for r in df.select("p", why).collect()} == cases
+    df = P.judged(spark.createDataFrame([(k, "") for k in cases], "p string, q string"), "p", "q")
+    assert {r.p: r.reason for r in df.collect()} == cases
 
 
 def test_mojibake():
