@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "newsmill", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -66,3 +67,26 @@ def cut(df: DataFrame) -> DataFrame:
     what came before and a result that is read twice is computed once."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: A key is hot from 1/HOT of the rows, so at most HOT keys are; a hot key is divided into SALTS shares.
+HOT, SALTS = 256, 16
+
+
+def hot_keys(sizes: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The keys with more than 1/HOT of the rows that ``sizes`` (a row a key, its rows in ``n``) counts: at most HOT
+    rows.  ``sizes`` should be materialised."""
+    total = sizes.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return sizes.where(F.col(n) * HOT > F.lit(total)).select(*keys)
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, hot: DataFrame, how: str = "left") -> DataFrame:
+    """``left`` joined to ``right`` (one row a key) where some keys hold a large part of ``left``: rows of hot keys are
+    divided by ``spread``, a column of ``left``, and the one row of ``right`` repeated for each share.  What is
+    broadcast is ``hot``, at most HOT rows; null keys find no partner."""
+    mark = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
+    share = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
+    shares = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(mark, keys, "left").withColumn("__salt", share).drop("__hot")
+    b = right.join(mark, keys, "left").withColumn("__salt", F.explode(shares)).drop("__hot")
+    return a.join(b, [*keys, "__salt"], how).drop("__salt")
