@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.addresses import site_of
-from ..session import cut, table
+from ..session import cut, hot_join, hot_keys, table
 
 #: Documents of its site that a line must be in.
 SUPPORT = 5
@@ -41,12 +41,12 @@ def blocks(lines: DataFrame, key: str, support: int = SUPPORT) -> tuple[DataFram
     """(node, support, block) of the kept nodes and (a, b, support) of the kept edges; ``block`` is the least node of
     its component."""
     nodes = cut(lines.groupBy("node", key).agg(F.lit(1).alias("one")).groupBy("node").agg(F.count("*").alias("support")).where(F.col("support") >= support))
-    kept = lines.join(nodes.select("node"), "node", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "node"))).alias("run"))
+    kept = hot_join(lines, nodes.select("node"), ["node"], key, hot_keys(nodes, ["node"], "support"), "inner").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "node"))).alias("run"))
     n = F.size("run")
     pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.get("run", i).node.alias("a"), F.get("run", i + 1).node.alias("b"), (F.get("run", i + 1).line_no - F.get("run", i).line_no).alias("gap")))
     edges = kept.where(n >= 2).select(key, F.explode(pairs).alias("e")).select(key, "e.*").where("gap <= 2 and a <> b")
     edges = cut(edges.groupBy("a", "b", key).agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count("*").alias("support")).where(F.col("support") >= support))
-    return nodes.join(components(edges), "node", "left").withColumn("block", F.coalesce("block", "node")), edges
+    return cut(nodes.join(components(edges), "node", "left").withColumn("block", F.coalesce("block", "node"))), edges
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -64,9 +64,10 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def occurrences(lines: DataFrame, found: DataFrame) -> DataFrame:
+def occurrences(lines: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Lines that belong to a block, with it.  ``found`` holds one row a repeated line."""
-    return lines.join(found.select("node", "support", "block"), "node")
+    found = found.select("node", "support", "block")
+    return hot_join(lines, found, ["node"], key, hot_keys(found, ["node"], "support"), "inner")
 
 
 def without_blocks(pages: DataFrame, key: str, text: str, at: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def repeated_lines(pages: DataFrame, key: str, url: str, text: str, support: int
     """
     lines = cut(lines_of(pages, key, url, text))
     found, _ = blocks(lines, key, support)
-    return occurrences(lines, found).select(key, "line_no", "block", "support")
+    return occurrences(lines, found, key).select(key, "line_no", "block", "support")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.addresses import strip_space, with_article
-from ..session import cut, table
+from ..session import cut, hot_join, hot_keys, table
 
 #: Neighbours on each side that a page is compared with.
 NEIGHBOURS = 6
@@ -192,13 +192,14 @@ def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> Dat
     # Teasers: a core of the line is the form of a headline.
     by_form = lines.where(F.size("cores") > 0).select("form", F.explode("cores").alias("core")).distinct()
     teasers = by_form.join(heads, "core", "left_semi").select("form").distinct().withColumn("teaser", F.lit(True))
-    told = lines.drop("cores").join(teasers, "form", "left")
+    told = hot_join(lines.drop("cores"), teasers, ["form"], key, hot_keys(cut(lines.groupBy("form").agg(F.count("*").alias("n"))), ["form"]))
     page = Window.partitionBy(key).orderBy("line_no")
     told = told.where("has_text").withColumn("above_teaser", F.coalesce(F.lead("teaser").over(page), F.lit(False)))
     told = cut(told.withColumn("run", F.sum(F.when(F.col("kind") % 4 >= 1, 1).otherwise(0)).over(page.rowsBetween(Window.unboundedPreceding, 0))))
     share = lambda c: F.avg(F.col(c).cast("double"))
     stats = told.groupBy("form").agg(F.count("*").alias("n"), share("outer").alias("outside"), share("shared").alias("common"), share("above_teaser").alias("heading"))
-    told = told.join(stats.where(F.col("n") >= LEAST_PAGES), "form", "left")
+    stats = cut(stats.where(F.col("n") >= LEAST_PAGES))
+    told = hot_join(told, stats, ["form"], key, hot_keys(stats, ["form"]))
     c = F.col
     known, prose, signed, teaser = c("n").isNotNull(), c("kind") % 4 >= 1, c("kind") >= 4, F.coalesce(c("teaser"), F.lit(False))
     by_place = F.when(prose, (c("outside") >= OUTER_STOPPED) | (c("common") >= 0.5)).otherwise(teaser | (c("outside") >= OUTER) | (c("common") >= 0.5) | (c("heading") >= 0.5))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import cut, hot_join, hot_keys, table
 
 #: A last trigram tells of a cut if it is inside texts at least INSIDE times and ends at most END_SHARE of them.
 INSIDE, END_SHARE = 5, 0.1
@@ -104,7 +104,9 @@ def truncated(texts: DataFrame) -> DataFrame:
     ends = open_.select("h3", "h2", "same").distinct()
     by3 = ends.where("h3 is not null").groupBy("h2", "h3").agg(F.count("*").alias("ends")).join(inside, ["h2", "h3"], "left")
     by2 = ends.where("h2 is not null").groupBy("h2").agg(F.count("*").alias("ends2")).join(follows, "h2", "left")
-    open_ = open_.join(by3, ["h2", "h3"], "left").join(by2, "h2", "left")
+    sizes = cut(open_.groupBy("h2", "h3").agg(F.count("*").alias("n")))
+    open_ = hot_join(open_, by3, ["h2", "h3"], "record_id", hot_keys(sizes, ["h2", "h3"]))
+    open_ = hot_join(open_, by2, ["h2"], "record_id", hot_keys(sizes.groupBy("h2").agg(F.sum("n").alias("n")), ["h2"]))
     # Limits of a source: lengths that texts without a stop pile up at; sources x lengths rows at most.
     known = []
     for unit in ("n_chars", "n_bytes"):

@@ -43,7 +43,7 @@ def test_blocks_and_removal(spark):
     lines = B.cut(B.lines_of(df, "id", "url", "body"))
     found, edges = B.blocks(lines, "id")
     assert sorted(r.n for r in found.groupBy("block").agg(B.F.count("*").alias("n")).collect()) == [4] or found.select("block").distinct().count() <= 2
-    out = {r.id: r.body for r in B.without_blocks(df, "id", "body", B.occurrences(lines, found)).collect()}
+    out = {r.id: r.body for r in B.without_blocks(df, "id", "body", B.occurrences(lines, found, "id")).collect()}
     assert out[3] == "Own text zzz"
 
 
