@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..operators import timestamps
-from . import relational_plans, source_plans, state_plans, text_plans, url_plans
+from . import page_plans, relational_plans, source_plans, state_plans, text_plans, url_plans
 
-_PLANS = [url_plans, text_plans, relational_plans, source_plans, state_plans]
+_PLANS = [url_plans, text_plans, relational_plans, source_plans, state_plans, page_plans]
 QUERIES = {"p7_found": timestamps.p7_found}
 ORACLE: dict[str, str] = {}
 for _p in _PLANS:

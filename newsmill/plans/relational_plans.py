@@ -52,7 +52,7 @@ def user_metrics(spark, sf):
 def user_timeline(spark, sf):
     """Documents of a year by source and month, with zeros."""
     t = table(spark, sf, "documents").where(F.year(c("published_at").cast("timestamp")) == 2023)
-    by = t.groupBy("source").pivot("m", [f"m{m:02d}" for m in range(1, 13)]) if False else t.withColumn("m", F.format_string("m%02d", F.month(c("published_at").cast("timestamp")))).groupBy("source").pivot("m", [f"m{m:02d}" for m in range(1, 13)])
+    by = t.withColumn("m", F.format_string("m%02d", F.month(c("published_at").cast("timestamp")))).groupBy("source").pivot("m", [f"m{m:02d}" for m in range(1, 13)])
     return by.count().na.fill(0)
 
 
@@ -135,12 +135,8 @@ def unproductive_streak(spark, sf):
 
 @query("SELECT user_id, event_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) > 3 AS limited FROM events")
 def rate_limit(spark, sf):
-    """More than 3 requests of a user within the day before and including each: the window's start is looked up by the
-    fourth last request, so no frame is scanned."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """More than 3 requests of a user within the day before and including each."""
     t = table(spark, sf, "events").select("user_id", "event_id", "ts")
-    # Requests at the same instant count for each other.
-    same = F.last("ts").over(Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.currentRow, Window.currentRow))
     n = F.count("*").over(Window.partitionBy("user_id").orderBy(F.unix_micros(c("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0))
     return t.select("user_id", "event_id", "ts", (n > 3).alias("limited"))
 
@@ -169,9 +165,6 @@ def digest_count(spark, sf):
     return table(spark, sf, "documents").where((p > now - F.expr("INTERVAL 1 DAY")) & (p <= now) & c("title").isNotNull() & (F.length(F.trim("text")) >= 500)).groupBy("source").agg(F.count("*").alias("n"))
 
 
-_KEY = "lower(trim(link))"
-
-
 @query(
     """WITH k AS (SELECT item_id, batch_no, source_id, nullif(lower(trim(link)), '') AS l FROM feed_items) SELECT batch_no, count(*) AS n, count(*) FILTER (l IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k o WHERE o.l = k.l AND o.batch_no < k.batch_no)) AS fresh FROM k GROUP BY batch_no"""
 )
