@@ -2,14 +2,14 @@
 
 Pages of a host are put in order of their address, each is paired with its nearest neighbours that hold another
 article, and their lines are aligned by longest common subsequence.  What a page shares with a neighbour is
-furniture and deleted.
+furniture and deleted; a paragraph only if several neighbours have it, as articles may quote each other.
 
 Furniture that names people or other stories (bylines, teasers, bread crumbs) is never shared word for word.  It is
 found by the differences too: with names and figures taken as slots, the form of a line is the same on many pages,
 and where the shared lines are taken away, forms that stand before the first or behind the last paragraph of what is
 left are furniture, forms that stand between paragraphs (subheads, lists, results) are the article's.  Lines with the
 form of a headline of the corpus are teasers, what stands above them their heading, and rare forms in a run of lines
-with a teaser or heading go with it, as do rare forms signed like a teaser.
+with a teaser or heading go with it, as do rare forms signed like a teaser and lines all in capitals.
 
 Shuffled are hashes of lines, a few bytes a line: once by range of (site, address), which divides a site of any size,
 and once by form, aggregated before the shuffle.
@@ -18,7 +18,7 @@ and once by form, aggregated before the shuffle.
 from __future__ import annotations
 
 import hashlib
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +34,8 @@ NEIGHBOURS = 6
 #: Pages that a form must be on to be judged by its places, and the share of outer places that makes it furniture,
 #: for lines with a final stop and for others.
 LEAST_PAGES, OUTER_STOPPED, OUTER = 5, 0.95, 0.5
+#: Neighbours that must share a paragraph.
+PARAGRAPH_SHARES = 3
 #: Characters from which a line with a final stop is a paragraph, and where a script has no spaces.
 PARAGRAPH, PARAGRAPH_DENSE = 110, 40
 
@@ -44,7 +46,8 @@ _STOP = regex.compile(r"[.!?。！？…][\"”“»’)\]」』]*$")
 _NUMBER, _COUNT = regex.compile(r"^(?:0[.)]|[•*»›>-])\s*"), regex.compile(r"(?:\s*\(0\))+$")
 _TAIL, _HEAD = regex.compile(r"(?:\s+[–—|·-] N|, N|\s*\(N\))+$"), regex.compile(r"^N: ")
 _INNER = regex.compile(r"\p{Ll}[.!?][\"”“»’)]* [\"“„«]?\p{Lu}")
-_WORD = regex.compile(r"\p{Ll}{2,}")
+_CRUMBS = regex.compile(r"\s[›»|/·]\s")
+_WORD, _PLAIN = regex.compile(r"\p{Ll}{2,}"), regex.compile(r"(?<!\p{L})\p{Ll}{2,}")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}]+")
 
 
@@ -90,7 +93,7 @@ def _features(text: str | None) -> list[dict]:
         long = long or bool(_INNER.search(line))
         kind = stopped + 2 * long
         found = [] if long or stopped else [c for c in cores(shape) if is_headline(c)]
-        kind += 4 * (len(found) > 1 or bool(found and found[0] != shape))
+        kind += 4 * (len(found) > 1 or bool(found and found[0] != shape)) + 8 * (not stopped and len(_PLAIN.findall(line)) >= 6 and not _CRUMBS.search(line)) + 16 * (line.isupper() and " " in line)
         out.append({"no": no, "line": _hash(_DIGITS.sub("0", line).lower()), "form": _hash(shape), "kind": kind, "cores": [_hash(c) for c in found]})
     return out
 
@@ -120,17 +123,18 @@ def _lcs(a: list[int], b: list[int], common: set[int]) -> set[int]:
 
 
 def shared_lines(pages: Iterator[tuple], neighbours: int = NEIGHBOURS) -> Iterator[tuple]:
-    """(page, indexes of lines that it shares with a neighbour) of pages (key, site, article, lines) in order."""
+    """(page, number of neighbours that share each line, by index) of pages (key, site, article, lines, title) in order;
+    pages with the same article or title are the same and share nothing."""
     window: deque = deque()
 
     def compare(p: list, q: list) -> None:
-        if p[1] == q[1] and p[2] != q[2] and (common := p[5] & q[5]):
-            p[6] |= _lcs(p[4], q[4], common)
-            q[6] |= _lcs(q[4], p[4], common)
+        if p[1] == q[1] and p[2] != q[2] and (p[7] is None or p[7] != q[7]) and (common := p[5] & q[5]):
+            p[6].update(_lcs(p[4], q[4], common))
+            q[6].update(_lcs(q[4], p[4], common))
 
-    for key, site, article, lines in pages:
+    for key, site, article, lines, title in pages:
         hashes = [x["line"] for x in lines]
-        page = [key, site, article, lines, hashes, set(hashes), set()]
+        page = [key, site, article, lines, hashes, set(hashes), Counter(), title]
         if site is not None:
             for other in window:
                 compare(page, other)
@@ -155,17 +159,20 @@ def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> Dat
             lines = pa.array([_features(t) for t in b.column(4).to_pylist()], pa.list_(_LINE))
             heads = [form(tidy(t or "")) for t in b.column(3).to_pylist()]
             heads = pa.array([_hash(h) if is_headline(h) else None for h in heads], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), heads, lines], [key, "site", "article", "head", "lines"])
+            same = [tidy(t or "").lower() for t in b.column(3).to_pylist()]
+            same = pa.array([_hash(t) if t else None for t in same], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), heads, same, lines], [key, "site", "article", "head", "title", "lines"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                yield from zip(*(b.column(i).to_pylist() for i in range(4)))
+                yield from zip(*(b.column(i).to_pylist() for i in range(5)))
 
         cols: list[list] = [[] for _ in range(8)]
-        for page, shared in shared_lines(rows()):
+        for page, times in shared_lines(rows()):
             lines = page[3]
-            prose = [i for i, x in enumerate(lines) if x["kind"] & 3 == 3 and i not in shared]
+            shared = {i for i, n in times.items() if n >= (PARAGRAPH_SHARES if lines[i]["kind"] & 3 == 3 else 1)}
+            prose = [i for i, x in enumerate(lines) if (x["kind"] & 3 == 3 or x["kind"] & 10 == 10) and i not in shared]
             first, last = (prose[0], prose[-1]) if prose else (-1, -1)
             for i, x in enumerate(lines):
                 for c, v in zip(cols, (page[0], x["no"], i in shared, x["form"], x["kind"], bool(prose) and not first <= i <= last, bool(prose), x["cores"])):
@@ -184,9 +191,9 @@ def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> Dat
     p = pages.select(F.col(key), strip_space(F.col(url)).alias("url"), F.col(title).alias("title"), F.col(text).alias("text"))
     p = with_article(p, "url").select(key, "__a_site", F.concat_ws(" ", "__a_article", F.regexp_replace(F.lower("url"), r"^https?://[^/]*|#.*$", "")).alias("at"), "__a_article", "title", "text")
     p = p.select(key, F.struct(F.col("__a_site").alias("s"), F.col("at").alias("p")).alias("site"), F.col("__a_article").alias("article"), "title", "text")
-    feats = cut(p.mapInArrow(features, f"`{key}` {id_type}, site struct<s:string,p:string>, article string, head bigint, lines {_DDL}"))
+    feats = cut(p.mapInArrow(features, f"`{key}` {id_type}, site struct<s:string,p:string>, article string, head bigint, title bigint, lines {_DDL}"))
     heads = feats.select(F.col("head").alias("core")).where("core is not null").distinct()
-    ordered = feats.where(F.size("lines") > 0).select(key, F.col("site.s").alias("site"), "article", "lines", F.col("site.p").alias("path"))
+    ordered = feats.where(F.size("lines") > 0).select(key, F.col("site.s").alias("site"), "article", "lines", "title", F.col("site.p").alias("path"))
     ordered = ordered.repartitionByRange("site", "path", key).sortWithinPartitions("site", "path", key).drop("path")
     lines = cut(ordered.mapInArrow(align, f"`{key}` {id_type}, line_no int, shared boolean, form bigint, kind tinyint, outer boolean, has_text boolean, cores array<bigint>"))
     # Teasers: a core of the line is the form of a headline.
@@ -201,10 +208,11 @@ def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> Dat
     stats = cut(stats.where(F.col("n") >= LEAST_PAGES))
     told = hot_join(told, stats, ["form"], key, hot_keys(stats, ["form"]))
     c = F.col
-    known, prose, signed, teaser = c("n").isNotNull(), c("kind") % 4 >= 1, c("kind") >= 4, F.coalesce(c("teaser"), F.lit(False))
-    by_place = F.when(prose, (c("outside") >= OUTER_STOPPED) | (c("common") >= 0.5)).otherwise(teaser | (c("outside") >= OUTER) | (c("common") >= 0.5) | (c("heading") >= 0.5))
+    known, prose, signed, teaser = c("n").isNotNull(), c("kind") % 4 >= 1, c("kind").bitwiseAND(4) != 0, F.coalesce(c("teaser"), F.lit(False))
+    by_place = F.when(prose, (c("outside") >= OUTER_STOPPED) | ((c("common") >= 0.5) & (c("outside") >= OUTER))).otherwise(teaser | (c("outside") >= OUTER) | (c("common") >= 0.5) | (c("heading") >= 0.5))
     told = told.withColumn("in_block", F.max(~prose & (teaser | F.coalesce(c("heading") >= 0.5, F.lit(False)))).over(Window.partitionBy(key, "run")))
-    furniture = c("shared") | F.when(known, by_place).otherwise(~prose & (teaser | signed | c("outer") | c("in_block")))
+    capitals = c("kind").bitwiseAND(16) != 0
+    furniture = F.when(known, by_place).otherwise(capitals | ~prose & (c("shared") | teaser | signed | ((c("outer") | c("in_block")) & (c("kind").bitwiseAND(8) == 0))))
     return told.select(key, "line_no", "kind", furniture.alias("furniture"))
 
 
@@ -212,7 +220,7 @@ def furniture_lines(pages: DataFrame, key: str, url: str, title: str, text: str)
     """(key, line_no) of the lines that aren't the article's own, of pages with at least one own line that ends as a
     sentence."""
     told = classify(pages, key, url, title, text)
-    w = told.groupBy(key).agg(F.max(~F.col("furniture") & (F.col("kind") % 2 == 1)).alias("own"))
+    w = told.groupBy(key).agg(F.max(~F.col("furniture") & ((F.col("kind") % 2 == 1) | (F.col("kind").bitwiseAND(10) == 10))).alias("own"))
     return told.where("furniture").join(w.where("own"), key, "left_semi").select(key, "line_no")
 
 
