@@ -170,3 +170,14 @@ def parse_date(spark, sf):
     p = F.trim("pub_date")
     iso = p.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z\z")
     return table(spark, sf, "feed_items").select("item_id", F.when(c("pub_date").isNull() | (p == ""), "missing").when(iso, "iso").otherwise("other").alias("kind"), F.when(iso, F.try_to_timestamp(p)).alias("at"))
+
+
+def batch_dedupe(spark, sf):
+    """Items kept of all, taken in order, by their address and their source's guid."""
+    from ..operators.batches import first_seen
+
+    t = table(spark, sf, "feed_items").select("item_id", F.nullif(F.trim("link"), F.lit("")).alias("l"), F.concat("source_id", F.lit("|"), F.nullif(F.trim("guid"), F.lit(""))).alias("g"))
+    return first_seen(t, "item_id", ["l", "g"])
+
+
+QUERIES["batch_dedupe"] = batch_dedupe
