@@ -117,10 +117,11 @@ def truncated(texts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     )
     last = cut(last)
     open_ = last.where("not stopped and not marked and not torn")
-    ends = open_.select("h3", "h2", "same").distinct()
+    bases = open_  # a filter of what is materialised; the joins below are run once, at the end
+    ends = bases.select("h3", "h2", "same").distinct()
     by3 = ends.where("h3 is not null").groupBy("h2", "h3").agg(F.count("*").alias("ends")).join(inside, ["h2", "h3"], "left")
     by2 = ends.where("h2 is not null").groupBy("h2").agg(F.count("*").alias("ends2")).join(follows, "h2", "left")
-    sizes = cut(open_.groupBy("h2", "h3").agg(F.count("*").alias("n")))
+    sizes = cut(bases.groupBy("h2", "h3").agg(F.count("*").alias("n")))
     open_ = hot_join(open_, by3, ["h2", "h3"], "record_id", hot_keys(sizes, ["h2", "h3"]))
     open_ = hot_join(open_, by2, ["h2"], "record_id", hot_keys(sizes.groupBy("h2").agg(F.sum("n").alias("n")), ["h2"]))
     # Limits of a source: lengths that texts without a stop pile up at; sources x lengths rows at most.
@@ -145,7 +146,7 @@ def truncated(texts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     phrase = (inside_n >= INSIDE) & (may_end <= END_SHARE * (may_end + inside_n))
     torn_word = (inside_n + closed_n < INSIDE) & (ends_n < INSIDE) & (pair_n >= INSIDE_PAIR) & (pair_ends <= END_SHARE * (pair_ends + pair_n))
     # An address that ends texts again and again is a footer; another one at the limit was cut.
-    footers = ends_of(open_.where("address"), "tail").where(F.col("k") >= INSIDE).select("tail", F.lit(True).alias("footer"))
+    footers = ends_of(bases.where("address"), "tail").where(F.col("k") >= INSIDE).select("tail", F.lit(True).alias("footer"))
     open_ = open_.join(footers, "tail", "left")
     limit = F.coalesce(c("at_n_chars"), c("at_n_bytes"), F.lit(False))
     why = F.when(c("headline") | c("footer"), F.lit(None)).when(c("address"), F.when(limit, "limit")).when(phrase & c("prose"), "phrase").when(torn_word & c("prose") & ~c("figure"), "word").when(c("begun") & ~c("figure"), "sentence").when(limit, "limit")
