@@ -46,6 +46,7 @@ _STOP = regex.compile(r"[.!?。！？…][\"”“»’)\]」』]*$")
 _NUMBER, _COUNT = regex.compile(r"^(?:0[.)]|[•*»›>-])\s*"), regex.compile(r"(?:\s*\(0\))+$")
 _TAIL, _HEAD = regex.compile(r"(?:\s+[–—|·-] N|, N|\s*\(N\))+$"), regex.compile(r"^N: ")
 _INNER = regex.compile(r"\p{Ll}[.!?][\"”“»’)]* [\"“„«]?\p{Lu}")
+_SECTIONS = regex.compile(r"^(?:[^›»]{1,24} [›»] )+")
 _CRUMBS = regex.compile(r"\s[›»|/·]\s")
 _WORD, _PLAIN = regex.compile(r"\p{Ll}{2,}"), regex.compile(r"(?<!\p{L})\p{Ll}{2,}")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}]+")
@@ -62,8 +63,8 @@ def form(line: str) -> str:
 
 
 def cores(shape: str) -> list[str]:
-    """What may be a headline in a line's form: without number, count and author."""
-    a = _COUNT.sub("", _NUMBER.sub("", shape))
+    """What may be a headline in a line's form: without sections, number, count and author."""
+    a = _COUNT.sub("", _NUMBER.sub("", _SECTIONS.sub("", shape)))
     b = _TAIL.sub("", a)
     return list({a: 0, b: 0, _HEAD.sub("", a): 0, _HEAD.sub("", b): 0})
 
@@ -83,17 +84,17 @@ _DDL = "array<struct<no:int,line:bigint,form:bigint,kind:tinyint,cores:array<big
 
 def _features(text: str | None) -> list[dict]:
     out = []
-    for no, raw in enumerate((text or "").split("\n"), 1):
-        line = tidy(raw)
-        if not line:
-            continue
+    lines = [(no, line) for no, raw in enumerate((text or "").split("\n"), 1) if (line := tidy(raw))]
+    for no, line in lines:
         shape = form(line)
-        stopped = bool(_STOP.search(line))
-        long = len(line) >= (PARAGRAPH_DENSE if len(_DENSE.findall(line)) * 3 > len(line) else PARAGRAPH)
-        long = long or bool(_INNER.search(line))
-        kind = stopped + 2 * long
-        found = [] if long or stopped else [c for c in cores(shape) if is_headline(c)]
-        kind += 4 * (len(found) > 1 or bool(found and found[0] != shape)) + 8 * (not stopped and len(_PLAIN.findall(line)) >= 6 and not _CRUMBS.search(line)) + 16 * (line.isupper() and " " in line)
+        stopped, inner = bool(_STOP.search(line)), bool(_INNER.search(line))
+        found = [] if stopped or inner else [c for c in cores(shape) if is_headline(c)]
+        signed = len(found) > 1 or bool(found and found[0] != shape)
+        if signed and no == lines[-1][0] and not _COUNT.search(shape) and shape.endswith(", N"):
+            signed = False  # rather a paragraph cut behind a name
+        long = inner or (len(line) >= (PARAGRAPH_DENSE if len(_DENSE.findall(line)) * 3 > len(line) else PARAGRAPH) and not signed)
+        plain = not stopped and len(_PLAIN.findall(line)) >= 6 and not _CRUMBS.search(line)
+        kind = stopped + 2 * long + 4 * signed + 8 * plain + 16 * (line.isupper() and " " in line)
         out.append({"no": no, "line": _hash(_DIGITS.sub("0", line).lower()), "form": _hash(shape), "kind": kind, "cores": [_hash(c) for c in found]})
     return out
 
