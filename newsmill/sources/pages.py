@@ -23,6 +23,8 @@ class _Page(HTMLParser):
         self.meta: dict[str, str] = {}
         self.paragraphs: list[tuple[str, bool, int]] = []
         self.links: list[tuple[str, str]] = []
+        self.notes: list[tuple[str, str]] = []
+        self.relations: list[tuple[str, str, str]] = []
         self._skip: list[str] = []
         self._text: list[str] = []
         self._linked = 0
@@ -30,6 +32,7 @@ class _Page(HTMLParser):
         self._title = self._h1 = False
         self._href: str | None = None
         self._anchor: list[str] = []
+        self._note = ("", "")
 
     def _flush(self):
         t = " ".join("".join(self._text).split())
@@ -41,14 +44,18 @@ class _Page(HTMLParser):
         a = dict(attrs)
         if tag == "meta" and a.get("content"):
             self.meta.setdefault((a.get("property") or a.get("name") or "").lower(), a["content"])
-        elif tag == "link" and "canonical" in (a.get("rel") or "").lower() and a.get("href"):
-            self.meta.setdefault("canonical", a["href"])
+        elif tag == "link" and a.get("href"):
+            rel = (a.get("rel") or "").lower()
+            self.relations.append((rel, (a.get("type") or "").lower(), a["href"]))
+            if "canonical" in rel:
+                self.meta.setdefault("canonical", a["href"])
         elif tag == "time" and a.get("datetime"):
             self.meta.setdefault("time", a["datetime"])
         elif tag == "title":
             self._title = True
         elif tag == "a" and a.get("href"):
             self._href, self._anchor = a["href"], []
+            self._note = ((a.get("rel") or "").lower(), f"{a.get('aria-label') or ''} {a.get('title') or ''}")
         if tag in SKIPPED:
             self._flush()
             self._skip.append(tag)
@@ -65,6 +72,7 @@ class _Page(HTMLParser):
             self._title = False
         elif tag == "a" and self._href is not None:
             self.links.append((self._href, " ".join("".join(self._anchor).split())))
+            self.notes.append(self._note)
             self._href = None
         elif tag in BREAKS:
             self._flush()
