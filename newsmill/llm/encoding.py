@@ -9,7 +9,8 @@ applied with translate() where a character stands for one letter, else by the wo
 
 Characters that are gone for good (replacement characters, question marks inside words) are named without repair.
 
-Python sees each distinct word of a source once, and only words that aren't plain ASCII.  Bigrams are kept as counts
+Python sees each distinct word of a source once, and only words that aren't plain ASCII; each is read by the keys, however usual its letters are, since a wrong
+decoding that is common makes its own bigrams usual.  Bigrams are kept as counts
 in a hashed table of fixed size (BUCKETS), the one thing that is broadcast.
 """
 
@@ -34,8 +35,8 @@ READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251
 OWN = ["cp1250", "iso8859-2", "cp1251", "koi8-r", "iso8859-5", "cp1253", "iso8859-7", "cp1252", "mac_roman", "cp437", "cp850", "cp852", "cp866", "cp1257", "mac_cyrillic", "mac_latin2", "cp932", "euc_jp"]
 #: Entries of the hashed bigram table.
 BUCKETS = 1 << 18
-#: A word is read by the keys if one of its bigrams is less probable than this (natural logarithm), or if it may show
-#: the bytes of a UTF-8 letter: where much is garbled, such bigrams aren't rare.
+#: A word is odd if one of its bigrams is less probable than this (natural logarithm), or if it may show the bytes of a
+#: UTF-8 letter.  Odd words are weighted among themselves, too; others are read all the same.
 ODD = -5.0
 #: Rounds of expectation-maximization, and the log odds that make a word garbled.
 ROUNDS, ODDS = 3, 3.0
@@ -246,13 +247,14 @@ def learn(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang = Language(shared.value)
         for b in batches:
-            keep, out = [], []
+            keep, rare, out = [], [], []
             for w in b.column(0).to_pylist():
                 p = plain(w)
                 own = lang.logs(p)
                 escaped = p != w and bool(regex.search(_ENTITY, w))
-                if not own or (min(own) >= ODD and not escaped and not _SHOWN_UTF8.search(p)):
+                if not own:
                     continue
+                odd = min(own) < ODD or escaped or bool(_SHOWN_UTF8.search(p))
                 base = sum(own)
                 found = []
                 for key, r in readings(p).items():
@@ -265,30 +267,40 @@ def learn(items: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if found and found[0]["gain"] > 0:
                     keep.append(w)
                     out.append(found[:6])
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), pa.array(out, _WORD)], ["word", "found"])
+                    rare.append(odd)
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), pa.array(rare, pa.bool_()), pa.array(out, _WORD)], ["word", "odd", "found"])
 
-    ddl = "word string, found array<struct<key:string,reading:string,gain:double>>"
-    read_ = vocabulary.select("word").repartition(spark.sparkContext.defaultParallelism).mapInArrow(read, ddl).select("word", F.explode("found").alias("f")).select("word", "f.*")
+    ddl = "word string, odd boolean, found array<struct<key:string,reading:string,gain:double>>"
+    read_ = vocabulary.select("word").repartition(spark.sparkContext.defaultParallelism).mapInArrow(read, ddl).select("word", "odd", F.explode("found").alias("f")).select("word", "odd", "f.*")
     core = lambda c: F.regexp_replace(c, r"^[^\p{L}]+|[^\p{L}]+$", "")
     known = vocabulary.select(core("word").alias("core"), "n").where("core <> ''").groupBy("core").agg(F.sum("n").alias("known"))
     read_ = read_.withColumn("core", core("reading")).join(known, "core", "left")
-    cand = cut(seen.join(read_, "word").select("source_id", "word", "n", "key", "reading", "gain", F.coalesce("known", F.lit(0)).alias("known")))
+    cand = cut(seen.join(read_, "word").select("source_id", "word", "n", "odd", "key", "reading", "gain", F.coalesce("known", F.lit(0)).alias("known")))
     marks = "|".join(regex.escape(c) for c in sorted(_MARKS))
     cand = cand.where(~(F.col("key").contains(">") & F.col("word").rlike(marks) & (F.col("known") < 3) & ~F.col("key").contains("utf8")))
     # Evidence for a reading: the bigrams, and the reading being a far more usual word.
     evidence = F.col("gain") + F.greatest(F.lit(0.0), F.least(F.lit(6.0), F.log((F.col("known") + 0.5) / (F.col("n") + 0.5))))
     cand = cand.withColumn("evidence", evidence)
-    weights = cand.select("source_id", "key").distinct().withColumn("prior", F.lit(PRIOR))
+    # Odd words are garbled far more often than others: they are weighted among themselves, and all words of a source
+    # together, where a key that few words speak for counts less.
+    among = F.explode(F.when(F.col("odd"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
+    cand = cut(cand.select("source_id", "word", "n", "key", "reading", "evidence", among.alias("among_odd")))
+    group = ["source_id", "among_odd"]
+    least = F.when(F.col("among_odd"), PRIOR - 2).otherwise(PRIOR - 4)
+    weights = cand.select(*group, "key").distinct().withColumn("prior", F.lit(PRIOR))
     for _ in range(ROUNDS):
-        scored = cand.join(weights, ["source_id", "key"]).withColumn("e", F.exp(F.least(F.lit(60.0), F.col("evidence") + F.col("prior"))))
-        total = scored.groupBy("source_id", "word").agg(F.sum("e").alias("all"), F.first("n").alias("n"))
-        resp = scored.join(total.select("source_id", "word", "all"), ["source_id", "word"]).withColumn("r", F.col("n") * F.col("e") / (1 + F.col("all")))
-        by_key = resp.groupBy("source_id", "key").agg(F.sum("r").alias("w"))
-        stay = total.groupBy("source_id").agg(F.sum(F.col("n") / (1 + F.col("all"))).alias("stay"))
-        weights = cut(by_key.join(stay, "source_id").select("source_id", "key", F.col("w").alias("weight"), F.greatest(F.lit(PRIOR - 2), F.least(F.lit(0.0), F.log((F.col("w") + 0.1) / (F.col("stay") + 1.0)))).alias("prior")))
-    scored = cand.join(weights, ["source_id", "key"]).withColumn("odds", F.col("evidence") + F.col("prior"))
+        scored = cand.join(weights, [*group, "key"]).withColumn("e", F.exp(F.least(F.lit(60.0), F.col("evidence") + F.col("prior"))))
+        total = scored.groupBy(*group, "word").agg(F.sum("e").alias("all"), F.first("n").alias("n"))
+        resp = scored.join(total.select(*group, "word", "all"), [*group, "word"]).withColumn("r", F.col("n") * F.col("e") / (1 + F.col("all")))
+        by_key = resp.groupBy(*group, "key").agg(F.sum("r").alias("w"))
+        stay = total.groupBy(*group).agg(F.sum(F.col("n") / (1 + F.col("all"))).alias("stay"))
+        weights = cut(by_key.join(stay, group).select(*group, "key", F.col("w").alias("weight"), "stay", F.greatest(least, F.least(F.lit(0.0), F.log((F.col("w") + 0.1) / (F.col("stay") + 1.0)))).alias("prior")))
+    # Among all words, a word doesn't speak for itself: its key is weighted by the source's other words.
+    own = resp.select(*group, "word", "key", "evidence", "reading", "r").join(weights, [*group, "key"])
+    others = F.greatest(least, F.least(F.lit(0.0), F.log((F.greatest(F.lit(0.0), F.col("weight") - F.col("r")) + 0.01) / (F.col("stay") + 1.0))))
+    scored = own.withColumn("odds", F.col("evidence") + F.when(F.col("among_odd"), F.col("prior")).otherwise(others))
     best = scored.groupBy("source_id", "word").agg(F.max(F.struct("odds", "key", "reading")).alias("b")).select("source_id", "word", "b.*")
-    return best.where(F.col("odds") >= ODDS), weights.select("source_id", "key", "weight")
+    return best.where(F.col("odds") >= ODDS), weights.where(~F.col("among_odd")).select("source_id", "key", "weight")
 
 
 def garbled_fields(items: DataFrame) -> DataFrame:

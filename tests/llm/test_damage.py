@@ -63,3 +63,15 @@ def test_garbled_fields(spark):
     fixed = {r.item_id: r.text for r in E.repaired(df).collect()}
     assert fixed[501] == bad[501].encode("cp1252").decode("cp1250")
     assert E.garbled_fields(df.limit(0)).count() == 0
+
+
+def test_common_swaps_are_read(spark):
+    rnd = random.Random(11)
+    words = ["árvíztűrő", "őszi", "megvédte", "erdőből", "felől", "gyűlés", "költőnő", "tetőről", "szőlő", "időjárás", "műhely", "esőben"]
+    rows = []
+    for i in range(600):
+        text = " ".join(rnd.choice(words) for _ in range(6))
+        rows.append((i, f"s{i % 7}", text.encode("cp1250").decode("cp1252") if i % 10 == 0 else text, None))
+    df = spark.createDataFrame(rows, "item_id long, source_id string, title string, description string")
+    got = {r.item_id for r in E.garbled_fields(df).collect()}
+    assert got == {i for i, _, t, _ in rows if "õ" in t or "û" in t}
