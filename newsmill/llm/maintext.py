@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.addresses import strip_space, with_article
 from ..session import cut, hot_join, hot_keys, table
 
-#: Neighbours on each side that a page is compared with.
+#: Other articles on each side that a page is compared with.
 NEIGHBOURS = 6
 #: Pages that a form must be on to be judged by its places, and the share of outer places that makes it furniture,
 #: for lines with a final stop and for others.
@@ -99,7 +99,7 @@ def _features(text: str | None) -> list[dict]:
     return out
 
 
-def _lcs(a: list[int], b: list[int], common: set[int]) -> set[int]:
+def _lcs(a: Sequence[int], b: Sequence[int], common: set[int]) -> set[int]:
     """Indexes in ``a`` of a longest common subsequence."""
     ia = [i for i, x in enumerate(a) if x in common]
     ib = [x for x in b if x in common]
@@ -123,28 +123,78 @@ def _lcs(a: list[int], b: list[int], common: set[int]) -> set[int]:
     return out
 
 
-def shared_lines(pages: Iterator[tuple], neighbours: int = NEIGHBOURS) -> Iterator[tuple]:
-    """(page, number of neighbours that share each line, by index) of pages (key, site, article, lines, title) in order;
-    pages with the same article or title are the same and share nothing."""
-    window: deque = deque()
+class _Text:
+    """A text of an article and how many neighbours share each line, by index."""
+
+    def __init__(self, article: str | None, title: int | None, hashes: tuple[int, ...]):
+        self.article, self.title, self.hashes, self.set, self.times = article, title, hashes, set(hashes), Counter()
+
+    def same(self, article: str | None, title: int | None) -> bool:
+        return (article is not None and article == self.article) or (title is not None and title == self.title)
+
+
+class _Group:
+    """Pages of one article or title; ``near`` are the groups that it is compared with."""
+
+    def __init__(self):
+        self.texts: dict[tuple, _Text] = {}
+        self.pages: list[tuple] = []
+        self.near: list[_Group] = []
 
-    def compare(p: list, q: list) -> None:
-        if p[1] == q[1] and p[2] != q[2] and (p[7] is None or p[7] != q[7]) and (common := p[5] & q[5]):
-            p[6].update(_lcs(p[4], q[4], common))
-            q[6].update(_lcs(q[4], p[4], common))
+    def add(self, page: tuple) -> None:
+        _, _, article, lines, title = page
+        at = (article, title, tuple(x["line"] for x in lines))
+        text = self.texts.setdefault(at, _Text(article, title, at[2]))
+        # Copies hold the lines of the last page once.
+        if self.pages and self.pages[-1][0][3] == lines:
+            page = (*page[:3], self.pages[-1][0][3], title)
+        self.pages.append((page, text))
 
-    for key, site, article, lines, title in pages:
-        hashes = [x["line"] for x in lines]
-        page = [key, site, article, lines, hashes, set(hashes), Counter(), title]
-        if site is not None:
+    def first(self) -> _Text:
+        return next(iter(self.texts.values()))
+
+    def done(self) -> Iterator[tuple]:
+        for text in self.texts.values():
+            for group in self.near:
+                other = next((q for q in group.texts.values() if not q.same(text.article, text.title)), None)
+                if other and (common := text.set & other.set):
+                    text.times.update(_lcs(text.hashes, other.hashes, common))
+        for page, text in self.pages:
+            yield page, text.times
+        self.pages, self.near = [], []
+
+
+def shared_lines(pages: Iterator[tuple], neighbours: int = NEIGHBOURS) -> Iterator[tuple]:
+    """(page, number of neighbours that share each line, by index) of pages (key, site, article, lines, title) in order.
+    Pages with the same article or title are the same and share nothing; all of them take one place among the
+    neighbours, so that each page is compared with ``neighbours`` other articles on each side."""
+    window: deque = deque()
+    last = None
+    for page in pages:
+        _, site, article, _, title = page
+        if site is None:
+            yield page, Counter()
+            continue
+        if site != last:
+            for group in window:
+                yield from group.done()
+            window.clear()
+            last = site
+        group = next((g for g in reversed(window) if g.first().same(article, title)), None)
+        if group is None:
+            group = _Group()
             for other in window:
-                compare(page, other)
-        window.append(page)
-        if len(window) > neighbours:
-            done = window.popleft()
-            yield done, done[6]
-    for done in window:
-        yield done, done[6]
+                other.near.append(group)
+                group.near.append(other)
+            group.add(page)
+            window.append(group)
+            # The oldest has all its neighbours; it goes before it gets one more.
+            if len(window) > neighbours:
+                yield from window.popleft().done()
+        else:
+            group.add(page)
+    for group in window:
+        yield from group.done()
 
 
 def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> DataFrame:

@@ -94,3 +94,18 @@ def test_furniture_of_a_site(spark):
     assert not {900, 901, 902} & set(got)
     for (i, _, _, body), own in pages:
         assert got[i] == set(range(1, len(body.split("\n")) + 1)) - own
+
+
+def test_copies_take_one_place():
+    line = lambda *hashes: [{"line": h} for h in hashes]
+    pages = [(i, "a", "one", line(1, 100 + i % 2, 2), None) for i in range(20)]
+    pages += [(20 + i, "a", f"x{i}", line(1, 200 + i, 2), None) for i in range(8)]
+    pages += [(40 + i, "b", None, line(3, 300 + i), None) for i in range(2)] + [(50, None, None, line(3), None)]
+    got = {p[0]: dict(times) for p, times in M.shared_lines(iter(pages))}
+    assert len(got) == len(pages)
+    assert all(got[i] == {0: 6, 2: 6} for i in range(20))
+    assert got[20] == {0: 7, 2: 7} and got[27] == {0: 6, 2: 6}
+    assert got[40] == got[41] == {0: 1} and got[50] == {}
+    # Without copies all pairs within the distance are compared.
+    single = [(i, "a", f"y{i}", line(1, i + 10), None) for i in range(30)]
+    assert {p[0]: t[0] for p, t in M.shared_lines(iter(single))} == {i: min(i, 6) + min(29 - i, 6) for i in range(30)}
