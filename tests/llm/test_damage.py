@@ -75,3 +75,43 @@ def test_common_swaps_are_read(spark):
     df = spark.createDataFrame(rows, "item_id long, source_id string, title string, description string")
     got = {r.item_id for r in E.garbled_fields(df).collect()}
     assert got == {i for i, _, t, _ in rows if "õ" in t or "û" in t}
+
+
+def test_planted_swaps_of_an_unlisted_page(spark):
+    """A page that no list holds: letters permuted among themselves in one text of twenty, in three languages."""
+    low = "áéíóöúüőűąćęłńóśźżäßçãõñèê"
+    low = list(dict.fromkeys(low))
+    perm = low[:]
+    random.Random(41).shuffle(perm)
+    swap = str.maketrans(dict(zip(low, perm)))
+    words = {
+        "hu": "árvíztűrő tükörfúrógép őszi kérdés közben megvédte szólt hozzá felől költség gyűlés időjárás műhely erdőből vízmű önkormányzat következő".split(),
+        "pl": "głosy według drużyna obroniła ogłosiła opłaciła służba wyścig przyjęła wodę szkoła ostrzeżeń żeglarze święto źródło późny ćwiczenia".split(),
+        "de": "größer schöner eröffnete nächste straße bürger prüfte verkäufe münchen fährt höhe später wählte grüne gemäß".split(),
+    }
+    rnd, rows, truth = random.Random(5), [], set()
+    for i in range(3000):
+        lang = ("hu", "pl", "de")[i % 3]
+        text = " ".join(rnd.choice(words[lang]) for _ in range(6))
+        if i % 20 == 7:
+            truth.add(i)
+            text = text.translate(swap)
+        rows.append((i, f"{lang}{i % 6}", text, None))
+    df = spark.createDataFrame(rows, "item_id long, source_id string, title string, description string")
+    told = E.inspected(df).collect()
+    got = {r.item_id for r in told}
+    assert len(got & truth) >= 0.95 * len(truth) and len(got & truth) >= 0.95 * len(got)
+    assert {r.why for r in told} == {"letters"}
+    assert E.letter_table(E.learn(df)).count() > 0
+
+
+def test_a_source_with_two_languages_and_marks_of_their_own(spark):
+    rnd = random.Random(6)
+    et = "öösel õhtu on hommikust targem eurose kuulda,“ oodanud,“ siin,“ sõudeklubi „keegi müügi".split()
+    hu = "őszi felől előtt megkérdőjelezte szóvivő „senki” tűzoltóőrt".split()
+    rows = [(i, None if i % 5 == 0 else "s", " ".join(rnd.choice(et if i % 2 else hu) for _ in range(6)), "") for i in range(1500)]
+    bad = {i for i in range(1500) if i % 100 == 10}
+    rows = [(i, s, t.translate(str.maketrans("őűŐŰ", "õûÕÛ")) if i in bad else t, d) for i, s, t, d in rows]
+    df = spark.createDataFrame(rows, "item_id long, source_id string, title string, description string")
+    got = {r.item_id for r in E.garbled_fields(df).collect()}
+    assert got <= bad and len(got) >= 0.9 * len({i for i, _, t, _ in rows if i in bad and "õ" in t + "" or i in bad and "û" in t})
