@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: One address: scheme, user, host, port, path, query.
-URL = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:@\s]+)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+#: One address: scheme, user, host (maybe an IPv6 one in brackets), port, path, query.
+URL = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\s\[\]]+)(?::([0-9]*))?((?:/[^?#]*)?)(?:\?([^#]*))?(?:#.*)?\s*$"
 _PARTS = ["scheme", "user", "host", "port", "path", "query"]
 #: Query keys that only track (fixed values): those dropped from links, and from article identities.
 LINK_TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid"]
@@ -112,14 +112,44 @@ def url_date(column: Column) -> Column:
     return F.coalesce(real(num(a, 1), num(a, 2), num(a, 3)), real(num(b, 1), num(b, 2), num(b, 3)), real(num(c, 1), num(c, 2), F.lit(1)))
 
 
+def _blocked_v4(h: Column) -> Column:
+    """Null where it is no IPv4 address."""
+    a, b, c, d = (F.split_part(h, F.lit("."), F.lit(i)).try_cast("int") for i in (1, 2, 3, 4))
+    inner = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
+    real = (a <= 255) & (b <= 255) & (c <= 255) & (d <= 255)
+    return F.when(h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), ~F.coalesce(real, F.lit(False)) | F.coalesce(inner, F.lit(True)))
+
+
+def _v6_groups(h: Column) -> Column:
+    """The eight groups of an IPv6 address in full as hexadecimal digits without leading zeros, or null."""
+    some = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    gap = h.contains("::")
+    left, right = some(F.substring_index(h, "::", 1)), F.when(gap, some(F.substring_index(h, "::", -1))).otherwise(F.array().cast("array<string>"))
+    fill = F.lit(8) - F.size(left) - F.size(right)
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.when(gap, F.greatest(fill, F.lit(0))).otherwise(0)), right)
+    return F.when(h.rlike(r"^[0-9a-f:]+$") & ~h.rlike(":::|::.*::"), F.when(F.size(groups) == 8, F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", ""))))
+
+
+def is_blocked_ip(ip: Column) -> Column:
+    """Whether an IPv4 or IPv6 address, brackets or none, is private, local, reserved or no address at all; an IPv4
+    address inside an IPv6 one counts as itself."""
+    h = F.lower(F.regexp_replace(ip, r"^\[|\]$", ""))
+    tail = F.regexp_extract(h, r"^::(?:ffff:)?(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    g = _v6_groups(h)
+    first = F.conv(F.get(g, F.lit(0)), 16, 10).cast("int")
+    zero = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == "0")
+    last4 = F.concat_ws(".", *[(F.conv(F.get(g, F.lit(i)), 16, 10).cast("int") / 256 if hi else F.conv(F.get(g, F.lit(i)), 16, 10).cast("int") % 256).cast("int") for i in (6, 7) for hi in (True, False)])
+    mapped = zero(5) & F.get(g, F.lit(5)).isin("ffff", "0")
+    own = first.bitwiseAND(0xFE00).isin(0xFC00) | first.bitwiseAND(0xFFC0).isin(0xFE80, 0xFEC0) | (first >= 0xFF00) | ((F.get(g, F.lit(0)) == "2001") & (F.get(g, F.lit(1)) == "db8"))
+    v6 = F.when(mapped, _blocked_v4(last4)).otherwise(own)
+    return F.coalesce(_blocked_v4(h), F.when(tail != "", _blocked_v4(tail)), v6, F.lit(True))
+
+
 def is_public_host(host: Column) -> Column:
-    """Whether a host may be asked: a public name, or an IPv4 address outside the private ranges."""
+    """Whether a host may be asked: a public name, or an address outside the private ranges."""
     h = F.lower(F.regexp_replace(host, r"^www\.|\.$", ""))
-    v4 = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    a, b = (F.split_part(h, F.lit("."), F.lit(i)).try_cast("int") for i in (1, 2))
-    private = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
     name = h.rlike(r"^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$") & (F.length(h) <= 253) & ~h.rlike(r"(^|\.)(localhost|local|internal)$")
-    return F.when(v4, ~F.coalesce(private, F.lit(True))).otherwise(name)
+    return F.when(h.contains(":") | h.rlike(r"^[\d.]+$"), ~is_blocked_ip(h)).otherwise(name)
 
 
 def same_family(a: Column, b: Column) -> Column:

@@ -5,8 +5,8 @@ the instant at once.  Wall times are joined to the zone-offset intervals of thei
 (an as-of join turned into an equi-join with a small table): two matching intervals mean that the time occurs
 twice, none that it was skipped, one gives the offset directly.
 
-All of it is JVM-side: two scans, no shuffle, one broadcast join with ``sources`` and one with the interval table,
-whose size is bounded by the tz database.
+All of it is JVM-side: two scans, no shuffle but that of ``sources``, and one broadcast join with the interval table,
+whose size is bounded by the tz database.  Texts, comments and fractions may have any length, years are 1 to 9999.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.zones import ZONE_LETTERS, ZONE_LETTERS_BY_COUNTRY, zone_table
+from ..functions.zones import ZONE_LETTERS, ZONE_LETTERS_BY_COUNTRY, like_years, zone_names, zone_table
 from ..session import table
 
 #: Names of months (fixed values), by language; abbreviations are found by their first letters.
@@ -41,7 +41,7 @@ MONTH_SHORT = {
     "jaan": 1, "veebr": 2, "juuni": 6, "juuli": 7, "dets": 12,
 }
 
-_TIME = r"(\d{1,2})[:h](\d{2})(?::(\d{2})(?:[.,](\d{1,12}))?)?"
+_TIME = r"(\d{1,2})[:h](\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
 _AMPM = r"(?: ?([AaPp])\.?[Mm]\.?)?"
 _ZONE = r"(?: ?([A-Za-z]{1,5}|(?:GMT|UTC|UT|Z)? ?[+-]\d{1,2}(?::?\d{2})?))?(?:\[([A-Za-z_]+(?:/[A-Za-z_+-]+)*)\]| \([^()]*\))?"
 _DAY = r"(?:\p{L}{2,14}\.?,? )?"
@@ -102,9 +102,11 @@ def to_instants(df: DataFrame, value: str, zone: str, country: str, order: str)
     they are, whatever their names: the working columns begin with ``__t``.
     """
     spark, given = df.sparkSession, df.columns
-    # The tz names that occur, in the source table or behind a value in brackets; zone_table() keeps real ones only.
-    named = df.select(F.explode(F.array(F.col(zone), F.regexp_extract(value, r"\[([A-Za-z_]+(?:/[A-Za-z0-9_+-]+)*)\]\s*$", 1))).alias("z")).where("z <> ''").distinct()
-    zones = zone_table(spark, [r[0] for r in named.limit(5000).collect()]).withColumnsRenamed({"zone": "__tz", "local_year": "__ty", "spans": "__tx"})
+    # The tz names that occur, in the source table or behind a value in brackets; of these only the real ones (the
+    # database has about 600) go to the driver.
+    named = df.select(F.explode(F.array(F.col(zone), F.regexp_extract(value, r"\[([A-Za-z_]+(?:/[A-Za-z0-9_+-]+)*)\]", 1))).alias("zone")).where("zone <> ''")
+    named = named.join(F.broadcast(zone_names(spark)), "zone", "left_semi").distinct()
+    zones = zone_table(spark, [r[0] for r in named.collect()]).withColumnsRenamed({"zone": "__tz", "local_year": "__tl_y", "spans": "__tx"})
     months = spark.createDataFrame([(k, v) for k, v in month_numbers().items()], "__tn string, __tm int")
 
     df = df.withColumn("__ts", tidy(F.col(value)))
@@ -115,7 +117,7 @@ def to_instants(df: DataFrame, value: str, zone: str, country: str, order: str)
         .when(s.rlike(r"^\d{12,13}$"), s.try_cast("bigint"))
         .when(s.rlike(r"^\d{16}$"), F.floor(s.try_cast("bigint") / 1000).cast("bigint"))
     )
-    df = df.withColumn("__te", epoch).withColumn("__tp", F.when(F.col("__te").isNull() & (F.length(s) <= 80), F.split(date_parts(s), r"\|")))
+    df = df.withColumn("__te", epoch).withColumn("__tp", F.when(F.col("__te").isNull(), F.split(date_parts(s), r"\|")))
     names = ["__p_y", "__p_m", "__p_d", "__p_o", "__p_h", "__p_mi", "__p_s", "__p_f", "__p_half", "__p_z", "__p_region"]
     df = df.withColumns({n: F.nullif(F.get(F.col("__tp"), F.lit(i)), F.lit("")) for i, n in enumerate(names)})
     df = df.withColumns({
@@ -145,13 +147,15 @@ def to_instants(df: DataFrame, value: str, zone: str, country: str, order: str)
         "__to": F.when(offset.between(-960, 960), offset),
         "__tz": F.when(c("__p_z").isNull(), F.coalesce("__p_region", zone)),
     })
-    df = df.withColumn("__tf", F.when(c("__tmo").between(1, 12) & c("__ty").between(1900, 2200), F.make_date("__ty", "__tmo", F.lit(1))))
+    df = df.withColumn("__tf", F.when(c("__tmo").between(1, 12) & c("__ty").between(1, 9999), F.make_date("__ty", "__tmo", F.lit(1))))
     last = F.when(c("__p_m") == "@", F.datediff(F.add_months("__tf", 12), "__tf")).otherwise(F.dayofmonth(F.last_day("__tf")))
     good = (c("__td") >= 1) & (c("__td") <= last) & c("__th").isNotNull() & (c("__p_mi") <= 59) & (c("__p_s") <= 59)
     wall = (F.unix_date("__tf") + c("__td") - 1).cast("bigint") * 86_400 + c("__th") * 3600 + c("__p_mi") * 60 + c("__p_s")
-    df = df.withColumn("__tw", F.when(good, wall)).join(F.broadcast(zones), ["__tz", "__ty"], "left")
-    hit = F.filter("__tx", lambda x: (x.local_from <= c("__tw")) & (c("__tw") < x.local_to))
-    before = F.filter("__tx", lambda x: x.local_to <= c("__tw"))
+    # Years outside those of the intervals follow the year that stands for them.
+    same_year, moved = like_years(c("__ty"))
+    df = df.withColumn("__tw", F.when(good, wall)).withColumns({"__tl_y": same_year, "__tlw": c("__tw") - moved}).join(F.broadcast(zones), ["__tz", "__tl_y"], "left")
+    hit = F.filter("__tx", lambda x: (x.local_from <= c("__tlw")) & (c("__tlw") < x.local_to))
+    before = F.filter("__tx", lambda x: x.local_to <= c("__tlw"))
     local = F.coalesce(F.get(hit, F.lit(0)).offset, F.when(F.size(before) >= 1, F.get(before, F.size(before) - 1).offset))
     known = F.when(c("__p_z").isNotNull(), c("__to") * 60).otherwise(local)
     return df.withColumn("utc_ms", F.coalesce("__te", (c("__tw") - known) * 1000 + c("__p_f"))).select(*[F.col(f"`{g}`") for g in given], "utc_ms")

@@ -28,6 +28,15 @@ CASES = [  # value, zone, country, order, expected UTC (None: no instant)
     ("2023-03-05", "Asia/Tokyo", "JP", "YMD", "2023-03-04 15:00"),
     ("16 Mar 23 13:36 +0000", "Europe/Dublin", "IE", "DMY", "2023-03-16 13:36"),
     ("2023-03-10 18:42:20 GMT+2", "America/New_York", "US", "MDY", "2023-03-10 16:42:20"),
+    ("1985-06-01 10:00:00", "Europe/Paris", "FR", "DMY", "1985-06-01 08:00"),
+    ("2050-06-01 10:00:00", "Europe/Paris", "FR", "DMY", "2050-06-01 08:00"),
+    ("2050-01-01 10:00:00", "Europe/Paris", "FR", "DMY", "2050-01-01 09:00"),
+    ("2190-07-01 10:00:00", "Europe/Paris", "FR", "DMY", "2190-07-01 08:00"),
+    ("2191-10-30 02:30:00", "Europe/Paris", "FR", "DMY", "2191-10-30 00:30"),  # twice, by the rule of the last Sunday
+    ("1850-01-01 00:00:00", "Europe/Paris", "FR", "DMY", "1849-12-31 23:50:39"),  # local mean time
+    ("1899-12-30T00:00:00Z", "Europe/Paris", "FR", "DMY", "1899-12-30 00:00"),
+    ("2023-03-10T18:42:20.1234567890123456789Z", "Europe/Paris", "FR", "DMY", "2023-03-10 18:42:20.123"),
+    ("Mon, 13 Mar 2023 10:29:25 +0100 (" + "a long comment " * 20 + ")", "Europe/Paris", "FR", "DMY", "2023-03-13 09:29:25"),
     ("31 Sep 2023 08:15:00 GMT", "Europe/London", "GB", "DMY", None),
     ("2023-13-05 09:00", "Europe/London", "GB", "DMY", None),
     ("25:61", "Europe/London", "GB", "DMY", None),
