@@ -6,22 +6,28 @@ import os
 import shutil
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def get_spark(app: str = "newsmill", cores: str | int = "*", **conf: str) -> SparkSession:
-    """A session with the engine's defaults: UTC, adaptive execution, Arrow transfer."""
+def get_spark(app: str = "newsmill", cores: str | int | None = None, **conf: str) -> SparkSession:
+    """A session with the engine's defaults: UTC, adaptive execution, Arrow transfer.
+
+    ``cores`` gives a local session (``"*"`` for all).  Without it the master is the submitter's (``spark-submit --master``,
+    ``spark.master``), local only where none is set, and so are memory and the first number of shuffle partitions."""
+    given = SparkConf()
+    b = SparkSession.builder.appName(app)
+    if cores is not None or not given.contains("spark.master"):
+        b = b.master(f"local[{cores or '*'}]").config("spark.driver.memory", os.environ.get("NEWSMILL_DRIVER_MEMORY", "8g"))
+        b = b.config("spark.sql.shuffle.partitions", "8")
     b = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        b
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("NEWSMILL_DRIVER_MEMORY", "8g"))
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
@@ -50,12 +56,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: ``spark.checkpoint.dir`` of the session; one of our own only where it is unset
-    (single-machine runs such as tests)."""
+    (single-machine runs such as tests); on a cluster it must be set."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if path is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if path is None:
         path = "file://" + tempfile.mkdtemp(prefix="newsmill-checkpoint-")
     sc.setCheckpointDir(path)
@@ -90,3 +98,16 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, ho
     a = left.join(mark, keys, "left").withColumn("__salt", share).drop("__hot")
     b = right.join(mark, keys, "left").withColumn("__salt", F.explode(shares)).drop("__hot")
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
+
+
+#: Rows up to which one side of a join is broadcast.
+SMALL = 200_000
+
+
+def small_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "left") -> DataFrame:
+    """``left`` joined to ``right`` (one row a key, of a few numbers): broadcast while ``right``, which is materialised and
+    counted, has at most SMALL rows, else with hot keys divided.  The result is the same either way."""
+    right = cut(right)
+    if right.count() <= SMALL:
+        return left.join(F.broadcast(right), keys, how)
+    return hot_join(left, right, keys, spread, hot_keys(cut(left.groupBy(*keys).agg(F.count("*").alias("n"))), keys), how)
