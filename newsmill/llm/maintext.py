@@ -4,6 +4,10 @@ Pages of a host are put in order of their address, each is paired with its neare
 article, and their lines are aligned by longest common subsequence.  What a page shares with a neighbour is
 furniture and deleted; a paragraph only if several neighbours have it, as articles may quote each other.
 
+Neighbours are taken from a host's *line-up*: one page for each article and title, the first in order.  Places in it are
+counted in two passes, so that they don't depend on partitions; slices of the line-up get the pages beyond their edges
+as well, and slices with many pages (copies of one article) are divided, each part with the same neighbours.
+
 Furniture that names people or other stories (bylines, teasers, bread crumbs) is never shared word for word.  It is
 found by the differences too: with names and figures taken as slots, the form of a line is the same on many pages,
 and where the shared lines are taken away, forms that stand before the first or behind the last paragraph of what is
@@ -11,26 +15,31 @@ left are furniture, forms that stand between paragraphs (subheads, lists, result
 form of a headline of the corpus are teasers, what stands above them their heading, and rare forms in a run of lines
 with a teaser or heading go with it, as do rare forms signed like a teaser and lines all in capitals.
 
-Shuffled are hashes of lines, a few bytes a line: once by range of (site, address), which divides a site of any size,
-and once by form, aggregated before the shuffle.
+Shuffled are addresses, and hashes of lines, a few bytes a line: by slice, by page, and by form, aggregated before the
+shuffle.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.addresses import strip_space, with_article
-from ..session import cut, hot_join, hot_keys, table
+from ..session import cut, small_join, table
 
 #: Other articles on each side that a page is compared with.
 NEIGHBOURS = 6
+#: Places of the line-up in a slice.
+SLICE = 128
 #: Pages that a form must be on to be judged by its places, and the share of outer places that makes it furniture,
 #: for lines with a final stop and for others.
 LEAST_PAGES, OUTER_STOPPED, OUTER = 5, 0.95, 0.5
@@ -99,102 +108,113 @@ def _features(text: str | None) -> list[dict]:
     return out
 
 
-def _lcs(a: Sequence[int], b: Sequence[int], common: set[int]) -> set[int]:
-    """Indexes in ``a`` of a longest common subsequence."""
-    ia = [i for i, x in enumerate(a) if x in common]
-    ib = [x for x in b if x in common]
-    if [a[i] for i in ia] == ib:
-        return set(ia)
-    n, m = len(ia), len(ib)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        x, row, below = a[ia[i]], best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x == ib[j] else max(below[j], row[j + 1])
-    out, i, j = set(), 0, 0
-    while i < n and j < m:
-        if a[ia[i]] == ib[j]:
-            out.add(ia[i])
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
-class _Text:
-    """A text of an article and how many neighbours share each line, by index."""
-
-    def __init__(self, article: str | None, title: int | None, hashes: tuple[int, ...]):
-        self.article, self.title, self.hashes, self.set, self.times = article, title, hashes, set(hashes), Counter()
-
-    def same(self, article: str | None, title: int | None) -> bool:
-        return (article is not None and article == self.article) or (title is not None and title == self.title)
-
-
-class _Group:
-    """Pages of one article or title; ``near`` are the groups that it is compared with."""
-
-    def __init__(self):
-        self.texts: dict[tuple, _Text] = {}
-        self.pages: list[tuple] = []
-        self.near: list[_Group] = []
-
-    def add(self, page: tuple) -> None:
-        _, _, article, lines, title = page
-        at = (article, title, tuple(x["line"] for x in lines))
-        text = self.texts.setdefault(at, _Text(article, title, at[2]))
-        # Copies hold the lines of the last page once.
-        if self.pages and self.pages[-1][0][3] == lines:
-            page = (*page[:3], self.pages[-1][0][3], title)
-        self.pages.append((page, text))
-
-    def first(self) -> _Text:
-        return next(iter(self.texts.values()))
-
-    def done(self) -> Iterator[tuple]:
-        for text in self.texts.values():
-            for group in self.near:
-                other = next((q for q in group.texts.values() if not q.same(text.article, text.title)), None)
-                if other and (common := text.set & other.set):
-                    text.times.update(_lcs(text.hashes, other.hashes, common))
-        for page, text in self.pages:
-            yield page, text.times
-        self.pages, self.near = [], []
-
-
-def shared_lines(pages: Iterator[tuple], neighbours: int = NEIGHBOURS) -> Iterator[tuple]:
-    """(page, number of neighbours that share each line, by index) of pages (key, site, article, lines, title) in order.
-    Pages with the same article or title are the same and share nothing; all of them take one place among the
-    neighbours, so that each page is compared with ``neighbours`` other articles on each side."""
-    window: deque = deque()
-    last = None
-    for page in pages:
-        _, site, article, _, title = page
-        if site is None:
-            yield page, Counter()
-            continue
-        if site != last:
-            for group in window:
-                yield from group.done()
-            window.clear()
-            last = site
-        group = next((g for g in reversed(window) if g.first().same(article, title)), None)
-        if group is None:
-            group = _Group()
-            for other in window:
-                other.near.append(group)
-                group.near.append(other)
-            group.add(page)
-            window.append(group)
-            # The oldest has all its neighbours; it goes before it gets one more.
-            if len(window) > neighbours:
-                yield from window.popleft().done()
-        else:
-            group.add(page)
-    for group in window:
-        yield from group.done()
+def lcs(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
+    """Pairs of indexes of a longest common subsequence: equal ends are taken off, then the longest chain of matches is
+    grown one line of ``a`` at a time (one entry a match, not a table of lines by lines)."""
+    n = min(len(a), len(b))
+    head = 0
+    while head < n and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < n - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+        tail += 1
+    places: dict[int, list[int]] = {}
+    for j in range(len(b) - tail - 1, head - 1, -1):
+        places.setdefault(b[j], []).append(j)
+    ends: list[int] = []
+    links: list[tuple] = []
+    for i in range(head, len(a) - tail):
+        for j in places.get(a[i], ()):
+            k = bisect.bisect_left(ends, j)
+            link = (i, j, links[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                links.append(link)
+            else:
+                ends[k], links[k] = j, link
+    chain, link = [], links[-1] if links else None
+    while link:
+        chain.append(link[:2])
+        link = link[2]
+    ends_ = [(len(a) - tail + i, len(b) - tail + i) for i in range(tail)]
+    return [(i, i) for i in range(head)] + chain[::-1] + ends_
+
+
+class LineUp:
+    """Part of the line-up: (site, article, title, lines) by place."""
+
+    def __init__(self, at: dict[int, tuple]):
+        self.at, self.memo = at, {}
+
+    def near(self, place: int, inside: bool, site: str, article: str | None, title: str | None) -> Iterator[int]:
+        """Places of the nearest NEIGHBOURS pages on each side that hold another article under another title; at most one
+        page of the line-up has the same article and one the same title."""
+        before = range(place - (1 if inside else 0), place - NEIGHBOURS - 3, -1)
+        for side in (before, range(place + 1, place + NEIGHBOURS + 3)):
+            n = 0
+            for p in side:
+                other = self.at.get(p)
+                if other is None or other[0] != site:
+                    break
+                if (article is not None and other[1] == article) or (title is not None and other[2] == title):
+                    continue
+                yield p
+                n += 1
+                if n == NEIGHBOURS:
+                    break
+
+    def times(self, place: int, inside: bool, site: str, article: str | None, title: str | None, lines: tuple[int, ...]) -> Counter:
+        """How many neighbours share each line, by index.  A pair of pages of the line-up is aligned once, the earlier
+        page first."""
+        out: Counter = Counter()
+        own = set(lines)
+        for p in self.near(place, inside, site, article, title):
+            other = self.at[p][3]
+            if own.isdisjoint(other):
+                continue
+            if inside and lines == self.at[place][3]:
+                key = (min(place, p), max(place, p))
+                if key not in self.memo:
+                    self.memo[key] = lcs(self.at[key[0]][3], self.at[key[1]][3])
+                out.update(i if place < p else j for i, j in self.memo[key])
+            else:
+                out.update(i for i, _ in (lcs(lines, other) if place < p else [(j, i) for i, j in lcs(other, lines)]))
+        return out
+
+
+def line_up(feats: DataFrame, key: str) -> DataFrame:
+    """(key, place, inside) of all pages with a site: ``place`` is that of the page of the line-up at or before it,
+    ``inside`` tells whether it is that page."""
+    c = F.col
+    pages = feats.where("site.s is not null and size(lines) > 0").select(c(key).alias("k"), c("site.s").alias("s"), c("site.p").alias("p"), "article", "title")
+    # Pages without an article number or path are articles of their own, pages without a title have a title of their own.
+    pages = pages.withColumn("a", F.coalesce(F.concat(F.lit("a"), "article"), F.concat(F.lit("k"), c("k").cast("string"))))
+    first = pages.groupBy("s", "a").agg(F.min(F.struct("p", "k", "title")).alias("m")).select("s", "a", "m.*")
+    first = first.withColumn("t", F.coalesce(c("title").cast("string"), F.concat(F.lit("k"), c("k").cast("string"))))
+    heads = first.groupBy("s", "t").agg(F.min(F.struct("p", "k")).alias("m")).select("s", c("m.p").alias("p"), c("m.k").alias("k"), F.lit(True).alias("inside"))
+    ordered = first.select("s", "p", "k", "a").join(heads, ["s", "p", "k"], "left").select("s", "p", "k", "a", F.coalesce("inside", F.lit(False)).alias("inside"))
+    ordered = ordered.repartitionByRange("s", "p", "k").sortWithinPartitions("s", "p", "k").withColumn("row", F.monotonically_increasing_id())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            so_far = np.cumsum(b.column(3).to_numpy(zero_copy_only=False)) + n
+            n = int(so_far[-1]) if len(so_far) else n
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), b.column(4), pa.array(so_far, pa.int64())], ["s", "k", "a", "inside", "row", "here"])
+
+    kind = feats.schema[key].dataType.simpleString()
+    counted = cut(ordered.select("s", "k", "a", "inside", "row").mapInArrow(lambda bs: count(b.select([0, 1, 2, 3, 4]) for b in bs), f"s string, k {kind}, a string, inside boolean, row bigint, here bigint"))
+    part = F.shiftright("row", 33)
+    sizes = counted.groupBy(part.alias("part")).agg(F.max("here").alias("n")).collect()  # one row a partition
+    before, total = [], 0
+    for part_no, n in sorted((r[0], r[1]) for r in sizes):
+        before.append((part_no, total))
+        total += n
+    before = feats.sparkSession.createDataFrame(before, "part bigint, before bigint")
+    placed = counted.withColumn("part", part).join(F.broadcast(before), "part").select("s", "a", "k", "inside", (c("here") + c("before")).alias("place"))
+    # Other pages of an article take its place.
+    copies = pages.select("s", "a", c("k").alias("page")).join(placed, ["s", "a"])
+    return copies.select(c("page").alias(key), "place", (c("inside") & (c("page") == c("k"))).alias("inside"))
 
 
 def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> DataFrame:
@@ -214,29 +234,24 @@ def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> Dat
             same = pa.array([_hash(t) if t else None for t in same], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), heads, same, lines], [key, "site", "article", "head", "title", "lines"])
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in batches:
-                yield from zip(*(b.column(i).to_pylist() for i in range(5)))
-
-        cols: list[list] = [[] for _ in range(8)]
-        for page, times in shared_lines(rows()):
-            lines = page[3]
+    def align(of_slice: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        listed = LineUp({r.l_place: (r.l_site, r.l_article, r.l_title, tuple(r.hashes)) for r in of_slice.itertuples(index=False)})
+        rows: list[tuple] = []
+        known: dict = {}
+        for r in mine.itertuples(index=False):
+            lines = r.lines
+            hashes = tuple(x["line"] for x in lines)
+            place = None if r.place is None or r.place != r.place else int(r.place)
+            at = (place, bool(r.inside), r.site, r.article, r.title, hashes)
+            if at not in known:
+                known[at] = Counter() if place is None else listed.times(*at)
+            times = known[at]
             shared = {i for i, n in times.items() if n >= (PARAGRAPH_SHARES if lines[i]["kind"] & 3 == 3 else 1)}
             prose = [i for i, x in enumerate(lines) if (x["kind"] & 3 == 3 or x["kind"] & 10 == 10) and i not in shared]
             first, last = (prose[0], prose[-1]) if prose else (-1, -1)
             for i, x in enumerate(lines):
-                for c, v in zip(cols, (page[0], x["no"], i in shared, x["form"], x["kind"], bool(prose) and not first <= i <= last, bool(prose), x["cores"])):
-                    c.append(v)
-            if len(cols[0]) > 20_000:
-                yield emit(cols)
-                cols = [[] for _ in range(8)]
-        if cols[0]:
-            yield emit(cols)
-
-    def emit(c: list[list]) -> pa.RecordBatch:
-        kinds = [None, pa.int32(), pa.bool_(), pa.int64(), pa.int8(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(c, kinds)], [key, "line_no", "shared", "form", "kind", "outer", "has_text", "cores"])
+                rows.append((r.page, x["no"], i in shared, x["form"], x["kind"], bool(prose) and not first <= i <= last, bool(prose), x["cores"]))
+        return pd.DataFrame(rows, columns=[key, "line_no", "shared", "form", "kind", "outer", "has_text", "cores"])
 
     id_type = pages.schema[key].dataType.simpleString()
     p = pages.select(F.col(key), strip_space(F.col(url)).alias("url"), F.col(title).alias("title"), F.col(text).alias("text"))
@@ -244,21 +259,31 @@ def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> Dat
     p = p.select(key, F.struct(F.col("__a_site").alias("s"), F.col("at").alias("p")).alias("site"), F.col("__a_article").alias("article"), "title", "text")
     feats = cut(p.mapInArrow(features, f"`{key}` {id_type}, site struct<s:string,p:string>, article string, head bigint, title bigint, lines {_DDL}"))
     heads = feats.select(F.col("head").alias("core")).where("core is not null").distinct()
-    ordered = feats.where(F.size("lines") > 0).select(key, F.col("site.s").alias("site"), "article", "lines", "title", F.col("site.p").alias("path"))
-    ordered = ordered.repartitionByRange("site", "path", key).sortWithinPartitions("site", "path", key).drop("path")
-    lines = cut(ordered.mapInArrow(align, f"`{key}` {id_type}, line_no int, shared boolean, form bigint, kind tinyint, outer boolean, has_text boolean, cores array<bigint>"))
+    c = F.col
+    places = cut(line_up(feats, key))
+    rows = feats.where(F.size("lines") > 0).join(places, key, "left").select(c(key).alias("page"), c("site.s").alias("site"), "article", c("title").cast("string").alias("title"), "lines", "place", "inside")
+    # Slices of the line-up, divided where they have many pages; pages without a site have none to be compared with.
+    rows = rows.withColumn("slice", F.coalesce(F.floor(c("place") / SLICE), -1 - F.pmod(F.xxhash64("page"), F.lit(64))))
+    parts = cut(rows.groupBy("slice").agg((F.floor(F.count("*") / (4 * SLICE)) + 1).alias("parts")))
+    rows = rows.join(parts, "slice").withColumn("part", F.pmod(F.xxhash64("page"), c("parts"))).drop("parts")
+    listed = feats.join(places.where("inside").select(key, "place"), key).select(
+        c("place").alias("l_place"), c("site.s").alias("l_site"), c("article").alias("l_article"), c("title").cast("string").alias("l_title"), F.transform("lines", lambda x: x.line).alias("hashes")
+    )
+    near = F.array_distinct(F.array(*[F.floor((c("l_place") + d) / SLICE) for d in (-NEIGHBOURS - 2, 0, NEIGHBOURS + 2)]))
+    listed = listed.withColumn("at", F.explode(near)).join(parts.select(c("slice").alias("at"), "parts"), "at").withColumn("of", F.explode(F.sequence(F.lit(0), c("parts") - 1))).drop("parts")
+    ddl = f"`{key}` {id_type}, line_no int, shared boolean, form bigint, kind tinyint, outer boolean, has_text boolean, cores array<bigint>"
+    lines = cut(listed.groupBy("at", "of").cogroup(rows.groupBy("slice", "part")).applyInPandas(align, ddl))
     # Teasers: a core of the line is the form of a headline.
     by_form = lines.where(F.size("cores") > 0).select("form", F.explode("cores").alias("core")).distinct()
     teasers = by_form.join(heads, "core", "left_semi").select("form").distinct().withColumn("teaser", F.lit(True))
-    told = hot_join(lines.drop("cores"), teasers, ["form"], key, hot_keys(cut(lines.groupBy("form").agg(F.count("*").alias("n"))), ["form"]))
+    told = small_join(lines.drop("cores"), teasers, ["form"], key)
     page = Window.partitionBy(key).orderBy("line_no")
     told = told.where("has_text").withColumn("above_teaser", F.coalesce(F.lead("teaser").over(page), F.lit(False)))
     told = cut(told.withColumn("run", F.sum(F.when(F.col("kind") % 4 >= 1, 1).otherwise(0)).over(page.rowsBetween(Window.unboundedPreceding, 0))))
     share = lambda c: F.avg(F.col(c).cast("double"))
     stats = told.groupBy("form").agg(F.count("*").alias("n"), share("outer").alias("outside"), share("shared").alias("common"), share("above_teaser").alias("heading"))
     stats = cut(stats.where(F.col("n") >= LEAST_PAGES))
-    told = hot_join(told, stats, ["form"], key, hot_keys(stats, ["form"]))
-    c = F.col
+    told = small_join(told, stats, ["form"], key)
     known, prose, signed, teaser = c("n").isNotNull(), c("kind") % 4 >= 1, c("kind").bitwiseAND(4) != 0, F.coalesce(c("teaser"), F.lit(False))
     by_place = F.when(prose, (c("outside") >= OUTER_STOPPED) | ((c("common") >= 0.5) & (c("outside") >= OUTER))).otherwise(teaser | (c("outside") >= OUTER) | (c("common") >= 0.5) | (c("heading") >= 0.5))
     told = told.withColumn("in_block", F.max(~prose & (teaser | F.coalesce(c("heading") >= 0.5, F.lit(False)))).over(Window.partitionBy(key, "run")))

@@ -63,14 +63,13 @@ def test_lcs():
     rnd = random.Random(6)
     for _ in range(100):
         a, b = ([rnd.randrange(5) for _ in range(rnd.randrange(9))] for _ in range(2))
-        got = M._lcs(a, b, set(a) & set(b))
+        pairs = M.lcs(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and len({j for _, j in pairs}) == len(pairs)
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert len(got) == best[-1][-1]
-        it = iter(b)
-        assert all(a[i] in it for i in sorted(got))
+        assert len(pairs) == best[-1][-1]
 
 
 def _article(i, rnd):
@@ -96,16 +95,30 @@ def test_furniture_of_a_site(spark):
         assert got[i] == set(range(1, len(body.split("\n")) + 1)) - own
 
 
-def test_copies_take_one_place():
-    line = lambda *hashes: [{"line": h} for h in hashes]
-    pages = [(i, "a", "one", line(1, 100 + i % 2, 2), None) for i in range(20)]
-    pages += [(20 + i, "a", f"x{i}", line(1, 200 + i, 2), None) for i in range(8)]
-    pages += [(40 + i, "b", None, line(3, 300 + i), None) for i in range(2)] + [(50, None, None, line(3), None)]
-    got = {p[0]: dict(times) for p, times in M.shared_lines(iter(pages))}
-    assert len(got) == len(pages)
-    assert all(got[i] == {0: 6, 2: 6} for i in range(20))
-    assert got[20] == {0: 7, 2: 7} and got[27] == {0: 6, 2: 6}
-    assert got[40] == got[41] == {0: 1} and got[50] == {}
-    # Without copies all pairs within the distance are compared.
-    single = [(i, "a", f"y{i}", line(1, i + 10), None) for i in range(30)]
-    assert {p[0]: t[0] for p, t in M.shared_lines(iter(single))} == {i: min(i, 6) + min(29 - i, 6) for i in range(30)}
+def test_neighbours_of_a_line_up():
+    at = {i: ("s" if i < 30 else "t", f"a{i}", None, (1, i + 10, 2)) for i in range(40)}
+    at[12] = ("s", "a12", "head", (1, 22, 2))
+    up = M.LineUp(at)
+    assert list(up.near(10, True, "s", "a10", None)) == [9, 8, 7, 6, 5, 4, 11, 12, 13, 14, 15, 16]
+    assert list(up.near(10, False, "s", "copy", "head")) == [10, 9, 8, 7, 6, 5, 11, 13, 14, 15, 16, 17]
+    assert list(up.near(28, True, "s", "a28", None)) == [27, 26, 25, 24, 23, 22, 29]
+    assert up.times(10, True, "s", "a10", None, at[10][3]) == {0: 12, 2: 12}
+    assert up.times(10, False, "s", "copy", None, (7, 1)) == {1: 12}
+
+
+def test_result_does_not_depend_on_partitions(spark):
+    rnd = random.Random(12)
+    pages = [_article(i, rnd)[0] for i in range(300)]
+    # A third are copies of one article, some under its title alone; one page has no address.
+    pages += [(1000 + i, "https://a.example/2024/007?x=%d" % i, pages[7][2], pages[7][3] + ("\nEnd" if i % 2 else "")) for i in range(150)]
+    pages += [(2000, None, None, pages[3][3])]
+    df = spark.createDataFrame(pages, "id long, url string, title string, body string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for n in ("2", "8", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({(r.id, r.line_no) for r in M.furniture_lines(df, "id", "url", "title", "body").collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] and got[0] == got[1] == got[2]
