@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import shutil
 import tempfile
@@ -91,9 +92,10 @@ def hot_keys(sizes: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, hot: DataFrame, how: str = "left") -> DataFrame:
     """``left`` joined to ``right`` (one row a key) where some keys hold a large part of ``left``: rows of hot keys are
     divided by ``spread``, a column of ``left``, and the one row of ``right`` repeated for each share.  What is
-    broadcast is ``hot``, at most HOT rows; null keys find no partner."""
+    broadcast is ``hot``, at most HOT rows; null keys find no partner and are divided as well."""
     mark = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
-    share = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
+    null = functools.reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+    share = F.when(F.col("__hot") | null, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
     shares = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     a = left.join(mark, keys, "left").withColumn("__salt", share).drop("__hot")
     b = right.join(mark, keys, "left").withColumn("__salt", F.explode(shares)).drop("__hot")
