@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, hot_join, hot_keys, table
+from ..session import cut, hot_join, hot_keys, small_join, table
 
 #: A last trigram tells of a cut if it is inside texts at least INSIDE times and ends at most END_SHARE of them.
 INSIDE, END_SHARE = 5, 0.1
@@ -31,7 +31,7 @@ AT_LIMIT, AT_LIMIT_SHARE = 6, 0.08
 _CLOSERS = "\"”“„»«’‘')\\]」』›"
 _ENTITY_QUOTES = r"&(?:rsquo|lsquo|rdquo|ldquo|quot|raquo|laquo|bdquo|apos|#39|#34|#8216|#8217|#8220|#8221|#8222|#171|#187|#x201[89cd]);"
 _OMISSION = r"(?:\[\s*(?:\.\.\.|…|&hellip;|&#8230;)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\.\.\.|…|&hellip;|&#8230;)\s*$"
-_TORN = r"(?:<[A-Za-z/!][^<>]{0,400}|<|&#?[A-Za-z0-9]{1,8}|&#?|\bhttps?:/{0,2}|\bhttps?://[^\s./]*)$"
+_TORN = r"(?:<[A-Za-z/!][^<>]*+|<|&#?[A-Za-z0-9]{1,8}|&#?|\bhttps?:/{0,2}|\bhttps?://[^\s./]*)$"
 #: A final stop, maybe with closing marks behind it, be they garbled; or brackets that close.
 _STOP = rf"[.!?。！？](?:[\"”“»’‘')\]」』›]*(?:\s»)?|[ÂâÃĂΓ‚\x80-\x9f�][^\sA-Za-z0-9.!?。]{{0,14}})$|\([^()]{{1,80}}\)$|\[[^\[\]]{{1,80}}\]$"
 #: A sentence begun behind a finished one on the same line; signatures (behind a dash) and addresses are none.
@@ -133,10 +133,10 @@ def truncated(texts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
         piles = sizes.join(all_, ["record_type", "source_id"]).where((F.col("here") >= AT_LIMIT) & (F.col("here") >= AT_LIMIT_SHARE * F.col("all")))
         known.append(piles.select("record_type", "source_id", unit, F.lit(True).alias(f"at_{unit}")))
     for unit, limits in zip(("n_chars", "n_bytes"), known):
-        open_ = open_.join(limits, ["record_type", "source_id", unit], "left")
+        open_ = small_join(open_, limits, ["record_type", "source_id", unit], "record_id")
     if titles is not None:
         heads = titles.where("title is not null").select(_shape(F.col("title")).alias("shape")).distinct().withColumn("headline", F.lit(True))
-        open_ = open_.join(heads, "shape", "left")
+        open_ = small_join(open_, heads, ["shape"], "record_id")
     else:
         open_ = open_.withColumn("headline", F.lit(None).cast("boolean"))
     c = F.col
@@ -147,7 +147,7 @@ def truncated(texts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     torn_word = (inside_n + closed_n < INSIDE) & (ends_n < INSIDE) & (pair_n >= INSIDE_PAIR) & (pair_ends <= END_SHARE * (pair_ends + pair_n))
     # An address that ends texts again and again is a footer; another one at the limit was cut.
     footers = ends_of(bases.where("address"), "tail").where(F.col("k") >= INSIDE).select("tail", F.lit(True).alias("footer"))
-    open_ = open_.join(footers, "tail", "left")
+    open_ = small_join(open_, footers, ["tail"], "record_id")
     limit = F.coalesce(c("at_n_chars"), c("at_n_bytes"), F.lit(False))
     why = F.when(c("headline") | c("footer"), F.lit(None)).when(c("address"), F.when(limit, "limit")).when(phrase & c("prose"), "phrase").when(torn_word & c("prose") & ~c("figure"), "word").when(c("begun") & ~c("figure"), "sentence").when(limit, "limit")
     found = open_.select("record_type", "record_id", "source_id", why.alias("why")).unionByName(
