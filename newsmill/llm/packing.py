@@ -2,12 +2,14 @@
 
 Sizes are tokens; their histogram over the whole corpus has at most ``capacity`` rows, so it is the one thing that
 goes to the driver.  Dynamic programming over it chooses the boundaries of length buckets with the least padding
-(sizes rounded up to their bucket's bound).  Token-budget batches form inside each bucket, longest bucket first.
+(sizes rounded up to their bucket's bound).  Then, bucket by bucket, longest first:
 
-Batches of one bucket alone leave room: a container of long items can't be filled with more of them.  As few
-containers as possible are wanted here, so the room that the batches of longer buckets leave is offered to the items
-of the shorter ones, best fit first, before these open batches of their own.  ``buckets_only=True`` gives the plain
-form; the README has figures of both.
+1. *Closing rooms.*  The items of the bucket, longest first, are offered the rooms that the batches of longer buckets
+   left, best fit first.
+2. *Batches.*  What is left forms token-budget batches inside the bucket, best fit first among the bucket's own.
+
+Without the first step (``buckets_only=True``) a container of long items keeps the room that no other item of its bucket
+fits; the README has figures of both.
 
 The plan is made of runs, "items number a to b of size s go to containers c, c+1, ...", and is a few thousand rows
 whatever the corpus; items are numbered inside their size in parallel, by a hash of their id, and look up their run.
@@ -28,8 +30,8 @@ from .bpe import count_tokens
 
 CAPACITY = 2048
 BUCKETS = 16
-#: Shares into which the items of one size are divided while they are numbered.
-SHARES = 64
+#: Items of one size that are numbered in one task, about: a size is divided into as many shares as that takes.
+SHARE = 500_000
 
 
 def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -59,56 +61,72 @@ def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int
     return bounds[::-1]
 
 
+class _Rooms:
+    """Containers by the room left in them: (first container, how many)."""
+
+    def __init__(self):
+        self.by: dict[int, list[tuple[int, int]]] = {}
+        self.gaps: list[int] = []
+
+    def leave(self, gap: int, first: int, count: int) -> None:
+        if gap and count:
+            if gap not in self.by:
+                self.by[gap] = []
+                bisect.insort(self.gaps, gap)
+            self.by[gap].append((first, count))
+
+    def best(self, size: int) -> tuple[int, int, int] | None:
+        """The least room that the size fits, taken out."""
+        i = bisect.bisect_left(self.gaps, size)
+        if i == len(self.gaps):
+            return None
+        gap = self.gaps[i]
+        first, count = self.by[gap].pop()
+        if not self.by[gap]:
+            del self.by[gap], self.gaps[i]
+        return gap, first, count
+
+    def take(self, other: _Rooms) -> None:
+        for gap, rooms in other.by.items():
+            for first, count in rooms:
+                self.leave(gap, first, count)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, buckets: int = BUCKETS, buckets_only: bool = False) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Runs (size, first, length, container, per) and the number of containers: items ``first`` up to ``first +
     length`` of a size go to ``container + (number - first) // per``."""
     bounds = bucket_bounds(histogram, buckets)
     runs: list[tuple[int, int, int, int, int]] = []
-    room: dict[int, list[tuple[int, int]]] = {}  # by room left: (first container, how many)
-    rooms: list[int] = []
-    opened = 0
-
-    def leave(gap: int, first: int, count: int) -> None:
-        if gap and count:
-            if gap not in room:
-                room[gap] = []
-                bisect.insort(rooms, gap)
-            room[gap].append((first, count))
-
-    bucket = -1
+    opened, bucket = 0, -1
+    longer, own = _Rooms(), _Rooms()
     for size in sorted((s for s, n in histogram.items() if n > 0 and s > 0), reverse=True):
         here = bisect.bisect_left(bounds, size)
-        if buckets_only and here != bucket:
-            room.clear()
-            rooms.clear()
-        bucket, todo, done = here, histogram[size], 0
-        while todo:
-            i = bisect.bisect_left(rooms, size)
-            if i == len(rooms):
-                break
-            gap = rooms[i]
-            first, count = room[gap].pop()
-            if not room[gap]:
-                del room[gap], rooms[i]
-            per = min(gap // size, max(1, -(-todo // count)))  # as many as still fit into each
-            used = min(count, todo // per)
-            if not used:
-                used, per = 1, todo
-            if used < count:
-                leave(gap, first + used, count - used)
-            runs.append((size, done, used * per, first, per))
-            leave(gap - per * size, first, used)
-            done, todo = done + used * per, todo - used * per
+        if here != bucket:
+            if not buckets_only:
+                longer.take(own)
+            bucket, own = here, _Rooms()
+        todo, done = histogram[size], 0
+        for rooms in (longer, own):
+            while todo and (found := rooms.best(size)):
+                gap, first, count = found
+                per = min(gap // size, max(1, -(-todo // count)))  # as many as still fit into each
+                used = min(count, todo // per)
+                if not used:
+                    used, per = 1, todo
+                rooms.leave(gap, first + used, count - used)
+                runs.append((size, done, used * per, first, per))
+                rooms.leave(gap - per * size, first, used)
+                done, todo = done + used * per, todo - used * per
         if todo:
             per = capacity // size
             full = todo // per
             if full:
                 runs.append((size, done, full * per, opened, per))
-                leave(capacity - per * size, opened, full)
+                own.leave(capacity - per * size, opened, full)
                 done, opened = done + full * per, opened + full
             if rest := todo - full * per:
                 runs.append((size, done, rest, opened, rest))
-                leave(capacity - rest * size, opened, 1)
+                own.leave(capacity - rest * size, opened, 1)
                 opened += 1
     return runs, opened
 
@@ -122,26 +140,29 @@ def pieces(sizes: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     return sizes.where("n_tokens > 0").select(key, F.posexplode(all_).alias("piece", "size"))
 
 
-def pack(sizes: DataFrame, key: str, capacity: int = CAPACITY, buckets: int = BUCKETS, buckets_only: bool = False) -> DataFrame:
+def pack(sizes: DataFrame, key: str, capacity: int = CAPACITY, buckets: int = BUCKETS, buckets_only: bool = False, share: int = SHARE) -> DataFrame:
     """(key, piece, container bigint) of (key, n_tokens).
 
     Null and zero sizes take no place; a key that comes twice is placed twice; an empty table gives an empty result.
     The placing is the same at every run over the same rows.  Numbering shuffles (key, piece, size) once, by size
     and a hash of the key, so that a size which a third of all items have is divided.
     """
-    rows = pieces(sizes, key, capacity).withColumn("share", F.pmod(F.xxhash64(key, "piece"), F.lit(SHARES)).cast("int"))
-    rows = cut(rows)
-    counts = rows.groupBy("size", "share").agg(F.count("*").alias("n"))  # at most capacity x SHARES rows
+    rows = cut(pieces(sizes, key, capacity))
+    spark = rows.sparkSession
+    totals = rows.groupBy("size").agg(F.count("*").alias("n"))  # at most capacity rows
+    shares = spark.createDataFrame([(s, n // share + 1) for s, n in totals.collect()], "size int, shares bigint")
+    rows = rows.join(F.broadcast(shares), "size").withColumn("share", F.pmod(F.xxhash64(key, "piece"), F.col("shares")).cast("int")).drop("shares")
+    counts = rows.groupBy("size", "share").agg(F.count("*").alias("n"))  # at most capacity rows, and one for each SHARE items
     grid = {}
-    for size, share, n in counts.collect():
-        grid.setdefault(size, {})[share] = n
+    for size, part, n in counts.collect():
+        grid.setdefault(size, {})[part] = n
     runs, _ = plan({s: sum(by.values()) for s, by in grid.items()}, capacity, buckets, buckets_only)
-    before = {s: np.concatenate([[0], np.cumsum([by.get(i, 0) for i in range(SHARES)])[:-1]]) for s, by in grid.items()}
+    before = {s: np.concatenate([[0], np.cumsum([by.get(i, 0) for i in range(max(by) + 1)])[:-1]]) for s, by in grid.items()}
     grouped: dict[int, list] = {}
     for s, *r in runs:
         grouped.setdefault(s, []).append(r)
     by_size = {s: tuple(np.array(c, dtype=np.int64) for c in zip(*sorted(rs))) for s, rs in grouped.items()}
-    shared = rows.sparkSession.sparkContext.broadcast((before, by_size))
+    shared = spark.sparkContext.broadcast((before, by_size))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         offsets, plans = shared.value
