@@ -182,7 +182,8 @@ def _shown(page: str) -> frozenset[str]:
 
 def read_back(word: str) -> dict[str, str]:
     """What the word may be if characters of it are the bytes of a multi-byte encoding, by key: ``utf8:page``, joined by
-    ``+`` for a text garbled again and again, or ``page>own``.  Each turn shortens the word, which ends it."""
+    ``+`` for a text garbled again and again, or ``page>own``.  Each turn goes on from the readings that read most of the
+    word back (the shortest ones), which ends it."""
     out: dict[str, str] = {}
     known = {word}
     front = {"": word}
@@ -195,7 +196,8 @@ def read_back(word: str) -> dict[str, str]:
                     known.add(r)
                     new[f"{key}+utf8:{page}".lstrip("+")] = r
         out |= new
-        front = new
+        least = min(map(len, new.values()), default=0)
+        front = {key: w for key, w in new.items() if len(w) == least}
     for read, own in ((r, o) for r in _SINGLE for o in OWN if o in _MULTI) if not word.isascii() else ():
         try:
             r = _HIGH.sub(lambda m: _bytes_of(m[0], read).decode(own), word)
