@@ -250,8 +250,8 @@ def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> Dat
             prose = [i for i, x in enumerate(lines) if (x["kind"] & 3 == 3 or x["kind"] & 10 == 10) and i not in shared]
             first, last = (prose[0], prose[-1]) if prose else (-1, -1)
             for i, x in enumerate(lines):
-                rows.append((r.page, x["no"], i in shared, x["form"], x["kind"], bool(prose) and not first <= i <= last, bool(prose), x["cores"]))
-        return pd.DataFrame(rows, columns=[key, "line_no", "shared", "form", "kind", "outer", "has_text", "cores"])
+                rows.append((r.page, x["no"], i in shared, x["form"], x["kind"], bool(prose) and not first <= i <= last, bool(prose)))
+        return pd.DataFrame(rows, columns=[key, "line_no", "shared", "form", "kind", "outer", "has_text"])
 
     id_type = pages.schema[key].dataType.simpleString()
     p = pages.select(F.col(key), strip_space(F.col(url)).alias("url"), F.col(title).alias("title"), F.col(text).alias("text"))
@@ -261,22 +261,26 @@ def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> Dat
     heads = feats.select(F.col("head").alias("core")).where("core is not null").distinct()
     c = F.col
     places = cut(line_up(feats, key))
-    rows = feats.where(F.size("lines") > 0).join(places, key, "left").select(c(key).alias("page"), c("site.s").alias("site"), "article", c("title").cast("string").alias("title"), "lines", "place", "inside")
+    slim = F.transform("lines", lambda x: F.struct(x.no.alias("no"), x.line.alias("line"), x.form.alias("form"), x.kind.alias("kind")))
+    rows = feats.where(F.size("lines") > 0).join(places, key, "left").select(c(key).alias("page"), c("site.s").alias("site"), "article", c("title").cast("string").alias("title"), slim.alias("lines"), "place", "inside")
     # Slices of the line-up, divided where they have many pages; pages without a site have none to be compared with.
     rows = rows.withColumn("slice", F.coalesce(F.floor(c("place") / SLICE), -1 - F.pmod(F.xxhash64("page"), F.lit(64))))
+    rows = cut(rows)
     parts = cut(rows.groupBy("slice").agg((F.floor(F.count("*") / (4 * SLICE)) + 1).alias("parts")))
-    rows = rows.join(parts, "slice").withColumn("part", F.pmod(F.xxhash64("page"), c("parts"))).drop("parts")
-    listed = feats.join(places.where("inside").select(key, "place"), key).select(
-        c("place").alias("l_place"), c("site.s").alias("l_site"), c("article").alias("l_article"), c("title").cast("string").alias("l_title"), F.transform("lines", lambda x: x.line).alias("hashes")
+    # A row for each slice (of SLICE articles): broadcast while it is small, else joined like anything else.
+    pages_ = small_join(rows, parts, ["slice"], "page", "inner").withColumn("part", F.pmod(F.xxhash64("page"), c("parts"))).drop("parts")
+    listed = rows.where("inside").select(
+        c("place").alias("l_place"), c("site").alias("l_site"), c("article").alias("l_article"), c("title").alias("l_title"), F.transform("lines", lambda x: x.line).alias("hashes")
     )
     near = F.array_distinct(F.array(*[F.floor((c("l_place") + d) / SLICE) for d in (-NEIGHBOURS - 2, 0, NEIGHBOURS + 2)]))
-    listed = listed.withColumn("at", F.explode(near)).join(parts.select(c("slice").alias("at"), "parts"), "at").withColumn("of", F.explode(F.sequence(F.lit(0), c("parts") - 1))).drop("parts")
-    ddl = f"`{key}` {id_type}, line_no int, shared boolean, form bigint, kind tinyint, outer boolean, has_text boolean, cores array<bigint>"
-    lines = cut(listed.groupBy("at", "of").cogroup(rows.groupBy("slice", "part")).applyInPandas(align, ddl))
+    listed = listed.withColumn("at", F.explode(near))
+    listed = small_join(listed, parts.select(c("slice").alias("at"), "parts"), ["at"], "l_place", "inner").withColumn("of", F.explode(F.sequence(F.lit(0), c("parts") - 1))).drop("parts")
+    ddl = f"`{key}` {id_type}, line_no int, shared boolean, form bigint, kind tinyint, outer boolean, has_text boolean"
+    lines = cut(listed.groupBy("at", "of").cogroup(pages_.groupBy("slice", "part")).applyInPandas(align, ddl))
     # Teasers: a core of the line is the form of a headline.
-    by_form = lines.where(F.size("cores") > 0).select("form", F.explode("cores").alias("core")).distinct()
+    by_form = feats.select(F.explode("lines").alias("x")).where(F.size("x.cores") > 0).select("x.form", F.explode("x.cores").alias("core")).distinct()
     teasers = by_form.join(heads, "core", "left_semi").select("form").distinct().withColumn("teaser", F.lit(True))
-    told = small_join(lines.drop("cores"), teasers, ["form"], key)
+    told = small_join(lines, teasers, ["form"], key)
     page = Window.partitionBy(key).orderBy("line_no")
     told = told.where("has_text").withColumn("above_teaser", F.coalesce(F.lead("teaser").over(page), F.lit(False)))
     told = cut(told.withColumn("run", F.sum(F.when(F.col("kind") % 4 >= 1, 1).otherwise(0)).over(page.rowsBetween(Window.unboundedPreceding, 0))))
