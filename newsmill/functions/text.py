@@ -107,6 +107,54 @@ def class_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != ""))
 
 
+#: Characters whose UTF-8 bytes, read as Windows-1252, are put right by replacement (fixed values); what is shown for
+#: them is that rule's result, but for the two behind.
+REPLACED = "‘’“„–—…€£ÉéáíóöúüÁÍÓÖÚÜ\u00a0"
+REPLACED_ELSE = {"â€\x9d": "”", "â€": "”"}
+#: What tells of a wrong decoding; each that a text has counts one (fixed values).
+SUSPICIOUS = ["â€", "â‚¬", "Ã", "Â", "Ä", "\x18", "\x19", "\x1d", "\x1e", "\ufffd"]
+
+
+def replacements() -> dict[str, str]:
+    """Shown characters to those meant, longest first, so that no beginning of another is taken for it."""
+    shown = {"".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in c.encode()): c for c in REPLACED}
+    return dict(sorted({**shown, **REPLACED_ELSE}.items(), key=lambda x: -len(x[0])))
+
+
+def suspicion(c: Column) -> Column:
+    """How many of SUSPICIOUS a text has, and one more if a UTF-8 lead is followed by what stands for its next byte."""
+    likely = F.when(c.rlike(r"[ÃÂÅÄ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â€"), 1).otherwise(0)
+    return sum((F.when(c.contains(s), 1).otherwise(0) for s in SUSPICIOUS), likely)
+
+
+def normalize_text_detailed(c: Column) -> Column:
+    """struct(value, flags, suspicion_score, changed): a feed's text as a reader should see it, and what was done to it.
+    Null stays null; flags come each once, in the order of the steps."""
+    t0 = F.trim(c)
+    t1 = F.regexp_replace(t0, r"(?is)<!\[CDATA\[(.*?)\]\]>", "$1")
+    t2 = F.when(t1.contains("&"), unescape(t1)).otherwise(t1)
+    t3 = t2
+    for shown, meant in replacements().items():
+        t3 = F.replace(t3, F.lit(shown), F.lit(meant))
+    t3 = F.when(t2.rlike("[ÃÂâ]"), t3).otherwise(t2)
+    t4 = F.when(t3.rlike("[ÃÂÅâ]"), repair_mojibake(t3)).otherwise(t3)
+    steps = F.struct(t0.alias("t0"), t1.alias("t1"), t2.alias("t2"), t4.alias("t4"))
+    flag = lambda when, name: F.when(when, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    # An array of one struct keeps the steps from being computed again for each use.
+    one = F.transform(
+        F.array(steps),
+        lambda s: F.struct(
+            s.t4.alias("value"),
+            F.array_distinct(F.concat(
+                flag(s.t1 != s.t0, "cdata_stripped"), flag(s.t2 != s.t1, "entity_decoded"), flag(s.t4 != s.t2, "mojibake_repaired"), flag((suspicion(s.t4) > 0) | (suspicion(s.t2) > 0), "suspected_mojibake"),
+            )).alias("flags"),
+            suspicion(s.t4).alias("suspicion_score"),
+            (s.t4 != s.t0).alias("changed"),
+        ),
+    )
+    return F.when(c.isNotNull(), F.get(one, F.lit(0)))
+
+
 _MARKERS = ("Ã", "Â", "Å", "â")
 
 

@@ -61,15 +61,25 @@ def access_signals(spark, sf):
 
 
 _ENDS = r"len(regexp_extract_all(regexp_replace(trim(body_text), '[ \t\n\r]|$', ' ', 'g'), '[.!?]+ |[。！？؟…]+'))"
+_CHALLENGES = " + ".join("CAST(regexp_matches(lower(coalesce(body_text, '')), '" + p.replace("'", "''") + "') AS INT)" for p in access.CHALLENGES)
 
 
 @query(
-    f"""SELECT extraction_id, access_class, CASE access_class WHEN 'PAYWALL_BLOCKED' THEN true WHEN 'ACCESSIBLE' THEN false END AS paywall FROM (SELECT extraction_id, CASE WHEN length(trim(body_text)) >= 400 AND {_ENDS} >= 3 THEN 'ACCESSIBLE' WHEN {_signal_sql("challenge", "body_text")} THEN 'INTERSTITIAL_OR_CHALLENGE'
-    WHEN {_signal_sql("denial", "body_text")} OR coalesce(status_code IN (401, 402, 403, 407, 451), false) THEN 'HTTP_ACCESS_BLOCKED' WHEN {_signal_sql("call", "body_text")} THEN 'PAYWALL_BLOCKED' ELSE 'UNKNOWN' END AS access_class FROM article_extractions)"""
+    f"""SELECT extraction_id, access_class, confidence, CASE WHEN access_class = 'PAYWALL_BLOCKED' THEN true WHEN access_class IN ('ACCESSIBLE', 'METERED_OR_DECLARED') THEN false END AS paywall FROM (
+    SELECT extraction_id, k[1] AS access_class, k[2] AS confidence FROM (SELECT extraction_id, CASE WHEN coalesce(status_code IN (401, 403), false) THEN ['HTTP_ACCESS_BLOCKED', 'HIGH']
+    WHEN NOT usable AND challenges > 0 THEN ['INTERSTITIAL_OR_CHALLENGE', CASE WHEN challenges >= 2 THEN 'MEDIUM' ELSE 'LOW' END] WHEN NOT usable AND {_signal_sql("denial", "body_text")} THEN ['HTTP_ACCESS_BLOCKED', 'MEDIUM']
+    WHEN NOT usable AND {_signal_sql("call", "body_text")} THEN ['PAYWALL_BLOCKED', 'MEDIUM'] WHEN usable THEN ['ACCESSIBLE', 'HIGH'] WHEN {_signal_sql("ad_blocker", "body_text")} THEN ['INTERSTITIAL_OR_CHALLENGE', 'LOW'] ELSE ['UNKNOWN', 'LOW'] END AS k
+    FROM (SELECT *, coalesce(length(trim(body_text)) >= 400 AND {_ENDS} >= 3, false) AS usable, {_CHALLENGES} AS challenges FROM article_extractions)))"""
 )
 def access_class(spark, sf):
-    t = table(spark, sf, "article_extractions").select("extraction_id", access.access_class(c("status_code"), c("body_text")).alias("access_class"))
-    return t.withColumn("paywall", access.is_paywall(c("access_class")))
+    t = table(spark, sf, "article_extractions").select("extraction_id", access.access_hint(c("status_code"), c("body_text")).alias("a"))
+    return t.select("extraction_id", c("a.class").alias("access_class"), c("a.confidence").alias("confidence"), access.is_paywall(c("a.class")).alias("paywall"))
+
+
+@query()
+def access_evidence(spark, sf):
+    """The same with the codes of the evidence."""
+    return table(spark, sf, "article_extractions").select("extraction_id", access.access_hint(c("status_code"), c("body_text")).alias("a")).select("extraction_id", "a.*")
 
 
 #: Path segments that name no category (fixed values).

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import access, bodies
 from ..session import table
-from ..sources import feeds, pages, robots
+from ..sources import containers, feeds, pages, robots
 from .url_plans import parts_sql
 
 QUERIES, ORACLE = {}, {}
@@ -158,7 +160,7 @@ def page_bodies(spark, sf):
     return t.select("extraction_id", F.concat(head, body).alias("html"))
 
 
-_ONE = "nullif(trim(regexp_replace({}, '[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+', ' ', 'g')), '')"
+_ONE = "nullif(trim(regexp_replace({}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')), '')"
 
 
 @query("SELECT extraction_id, resolved_url AS canonical_url FROM article_extractions")
@@ -181,6 +183,76 @@ def page_links(spark, sf):
     return pages.page_links(page_bodies(spark, sf), "extraction_id", "html").select("extraction_id", "href", "text")
 
 
+_LINE = _ONE.format("l")
+_LETTERS = r"length(regexp_replace(p, '[^\p{L}\p{N}]', '', 'g'))"
+
+
+@query(
+    f"""SELECT extraction_id, 'article' AS selector, count(*) AS n_paragraphs, CAST(sum(length(p)) AS BIGINT) AS text_length FROM (SELECT DISTINCT extraction_id, {_LINE} AS p FROM (SELECT extraction_id, unnest(string_split(body_text, chr(10))) AS l FROM article_extractions))
+    WHERE length(p) >= 20 AND {_LETTERS} >= 0.4 * length(p) AND CASE WHEN regexp_matches(p, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Thai}}]') THEN {_LETTERS} >= 12 ELSE len(string_split(p, ' ')) >= 4 END GROUP BY 1"""
+)
+def page_containers(spark, sf):
+    """Containers of the pages by their paragraphs and text."""
+    t = containers.page_containers(page_bodies(spark, sf), "extraction_id", "html")
+    return t.select("extraction_id", "selector", F.size("paragraphs").cast("bigint").alias("n_paragraphs"), F.aggregate("paragraphs", F.lit(0).cast("bigint"), lambda a, p: a + F.length(p)).alias("text_length"))
+
+
+def _ranked(spark, sf):
+    t = containers.page_containers(page_bodies(spark, sf), "extraction_id", "html")
+    return bodies.ranked(t.join(table(spark, sf, "article_extractions").select("extraction_id", "excerpt"), "extraction_id"), "extraction_id")
+
+
+@query()
+def page_container_scores(spark, sf):
+    """Containers with scores, ranks and why one can't be the body."""
+    return _ranked(spark, sf).select("extraction_id", "selector", "score", "rank", "n_paragraphs", "text_length", "refused")
+
+
+@query()
+def page_body(spark, sf):
+    return bodies.chosen(_ranked(spark, sf), "extraction_id")
+
+
+@query()
+def page_extract(spark, sf):
+    """Pages to articles: metadata, body, access, confidence; or the reason why a page is refused."""
+    t = table(spark, sf, "article_extractions").select("extraction_id", "status_code")
+    meta = pages.page_meta(page_bodies(spark, sf), "extraction_id", "html")
+    all_ = t.join(meta, "extraction_id").join(page_body(spark, sf), "extraction_id", "left")
+    told = all_.withColumn("a", access.access_hint(c("status_code"), c("body")))
+    reason = F.when(c("a.class") == "HTTP_ACCESS_BLOCKED", "http_blocked").when(F.coalesce(F.trim("title"), F.lit("")) == "", "missing_title").when(c("body").isNull(), F.coalesce(F.get("tried", F.lit(0)), F.lit("no_body"))).when(
+        T.body_is_excerpt(c("body"), c("excerpt")), "body_is_excerpt"
+    )
+    sure = bodies.confidence(c("body"), c("selector"), c("title"), c("excerpt"), c("author"), c("published_at"), access.is_paywall(c("a.class")))
+    return told.select("extraction_id", "canonical_url", "title", "excerpt", "author", "published_at", "body", "selector", c("a.class").alias("access_class"), sure.alias("confidence"), reason.alias("refused"))
+
+
+#: Where a page's date is written, best first (fixed values); a date in the address comes before the last two.
+_DATE_PLACES = pages.DATE_PLACES
+_DATED = "published_at IS NOT NULL AND regexp_matches(published_at, '^[^\"''<>&]+$')"
+
+
+def dated_pages(spark, sf):
+    """Pages with the real date in one place, chosen by the id, and another one in all that come after it."""
+    t = table(spark, sf, "article_extractions").where(c("published_at").rlike("^[^\"'<>&]+$"))
+    k = c("extraction_id") % len(_DATE_PLACES)
+    head = F.concat(*[F.when(k < i, F.lit(form % "later")).when(k == i, F.concat(*[F.lit(x) if j == 0 else F.concat("published_at", F.lit(x)) for j, x in enumerate((form % "\x00").split("\x00"))])).otherwise("") for i, (_, _, form) in reversed(list(enumerate(_DATE_PLACES)))])
+    return t.select("extraction_id", F.concat(F.lit("<html><head>"), head, F.lit("</head></html>")).alias("html"), F.lit("https://a.example/x").alias("url"))
+
+
+@query(f"SELECT extraction_id, [{', '.join(repr(s) for s, _, _ in _DATE_PLACES)}][CAST(extraction_id % {len(_DATE_PLACES)} AS INT) + 1] AS source, published_at AS raw FROM article_extractions WHERE {_DATED}")
+def page_date(spark, sf):
+    return dated_pages(spark, sf).select("extraction_id", pages.page_date(c("html"), c("url")).alias("d")).select("extraction_id", "d.source", "d.raw")
+
+
+@query(f"""SELECT extraction_id, regexp_extract(title, '^[^"'']*') AS title, regexp_extract(excerpt, '^[^"'']*') AS description FROM article_extractions WHERE regexp_matches(title, '^[^"''<>&]+$') AND regexp_matches(excerpt, '^[^"''<>&]+$')""")
+def page_meta_regex(spark, sf):
+    """Metadata of listings by patterns alone, without a tree, for pages whose values need no escapes."""
+    t = table(spark, sf, "article_extractions").where(c("title").rlike("^[^\"'<>&]+$") & c("excerpt").rlike("^[^\"'<>&]+$"))
+    html = F.concat(F.lit("<title>none</title><meta name='twitter:title' content='no'><META  property=\"og:title\" content=\""), "title", F.lit("\"><meta property='og:description' content='no'><meta name='description' content='"), "excerpt", F.lit("'>"))
+    return t.select("extraction_id", pages.meta_by_pattern(html).alias("m")).select("extraction_id", "m.title", "m.description")
+
+
 @query("SELECT lang, count(*) AS n_sources, count(rss_feed_url) AS n_feeds, list(source_id ORDER BY source_id) AS ids FROM sources GROUP BY lang")
 def source_catalog(spark, sf):
     """A nested catalogue (languages with their sources), taken apart again."""

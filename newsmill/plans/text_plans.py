@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import access, bodies
 from ..session import table
 
 QUERIES, ORACLE = {}, {}
@@ -126,6 +127,49 @@ def normalize_text(spark, sf):
     return table(spark, sf, "feed_items").where("title is not null").select("item_id", T.normalize_text(F.col("title")).alias("title"))
 
 
+@query()
+def normalize_text_detailed(spark, sf):
+    """Titles with what was done to them: flags and a suspicion score."""
+    return table(spark, sf, "feed_items").select("item_id", T.normalize_text_detailed(F.col("title")).alias("t")).select("item_id", "t.*")
+
+
+@query(r"SELECT doc_id, coalesce(length(trim(text)) >= 400 AND len(regexp_extract_all(regexp_replace(trim(text), '[ \t\n\r]|$', ' ', 'g'), '[.!?]+ |[。！？؟…]+')) >= 3, false) AS substantial FROM documents")
+def substantial_body(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", access.is_substantial(F.col("text")).alias("substantial"))
+
+
+def _signal(code: str, column: str) -> str:
+    return f"regexp_matches(lower(coalesce({column}, '')), '" + "|".join(f"(?:{p})" for p in access.INTERSTITIAL[code]) + "')"
+
+
+_BOTH = " AND ".join(_signal(k, "body_text") for k in access.INTERSTITIAL)
+
+
+@query("SELECT extraction_id, list_filter([" + ", ".join(f"CASE WHEN {_signal(k, 'body_text')} THEN '{k}' END" for k in access.INTERSTITIAL) + "], lambda x: x IS NOT NULL) AS signals FROM article_extractions")
+def interstitial_signals(spark, sf):
+    return table(spark, sf, "article_extractions").select("extraction_id", access.interstitial_signals(F.col("body_text")).alias("signals"))
+
+
+@query(
+    f"""SELECT extraction_id, usable, coalesce(trim(title), '') <> '' AND coalesce(trim(resolved_url), '') <> '' AND usable AS publishable
+    FROM (SELECT *, coalesce(length(trim(body_text)) >= 500 AND NOT ({_BOTH}), false) AS usable FROM article_extractions)"""
+)
+def publishable(spark, sf):
+    col = F.col
+    return table(spark, sf, "article_extractions").select("extraction_id", access.is_usable(col("body_text")).alias("usable"), access.is_publishable(col("title"), col("resolved_url"), col("body_text")).alias("publishable"))
+
+
+@query(
+    r"""SELECT extraction_id, b > 0 AND (a = 0 OR (a < 500 AND b >= 800) OR (nb >= na + 3 AND b >= a * 1.15) OR (b >= a * 1.5 AND nb >= na)) AS prefers_page FROM
+    (SELECT extraction_id, coalesce(length(excerpt), 0) AS a, coalesce(length(body_text), 0) AS b, CASE WHEN excerpt IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(excerpt, '\n{2,}'), lambda p: trim(p) <> '')) END AS na,
+    CASE WHEN body_text IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(body_text, '\n{2,}'), lambda p: trim(p) <> '')) END AS nb FROM article_extractions)"""
+)
+def body_choice(spark, sf):
+    """Whether the page's text takes the place of the excerpt, by the rule for a challenger of a body."""
+    a, b = F.col("excerpt"), F.col("body_text")
+    return table(spark, sf, "article_extractions").select("extraction_id", bodies.prefers(a, bodies.n_paragraphs(a), b, bodies.n_paragraphs(b)).alias("prefers_page"))
+
+
 @query()
 def repair_mojibake(spark, sf):
     t = table(spark, sf, "feed_items").select("item_id", "title").where(F.col("title").rlike("[ÃÂÅâ]"))

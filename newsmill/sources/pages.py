@@ -6,7 +6,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.urls import url_date
 
 #: Elements without content of the page's own (fixed values).
 SKIPPED = {"script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe", "svg", "button", "template"}
@@ -15,6 +18,46 @@ BREAKS = {"p", "div", "article", "section", "li", "ul", "ol", "blockquote", "h1"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+_META = r"""(?i)<meta[^>]+(?:%s)=["'](?:%s)["'][^>]+content=["']([^"']+)["']"""
+#: Where a page's date is written, best first (fixed values): source, pattern, how it is written.
+DATE_PLACES = [
+    ("article:published_time", _META % ("property|name", "article:published_time"), '<meta property="article:published_time" content="%s">'),
+    ("og:published_time", _META % ("property|name", "og:published_time"), '<meta property="og:published_time" content="%s">'),
+    ("pubdate", _META % ("name", "pubdate|publishdate"), '<meta name="pubdate" content="%s">'),
+    ("datePublished", r'(?i)"datePublished"\s*:\s*"([^"]+)"', '<script type="application/ld+json">{"datePublished": "%s"}</script>'),
+    ("meta[itemprop=datePublished]", _META % ("itemprop", "datePublished"), '<meta itemprop="datePublished" content="%s">'),
+    ("time[datetime]", r"""(?i)<time[^>]+datetime=["']([^"']+)["']""", '<time datetime="%s">x</time>'),
+    ("meta[name=date]", _META % ("name", "date"), '<meta name="date" content="%s">'),
+    ("article:modified_time", _META % ("property|name", "article:modified_time"), '<meta property="article:modified_time" content="%s">'),
+    ("og:updated_time", _META % ("property|name", "og:updated_time"), '<meta property="og:updated_time" content="%s">'),
+]
+#: How many of DATE_PLACES come before a date in the address.
+BEFORE_ADDRESS = 7
+
+
+def _found(html: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+
+
+def page_date(html: Column, url: Column) -> Column:
+    """struct(raw, source): a page's date as written and where, publication before modification; nulls for none."""
+    places = [F.struct(_found(html, p).alias("raw"), F.lit(s).alias("source")) for s, p, _ in DATE_PLACES]
+    address = F.struct(url_date(url).cast("string").alias("raw"), F.lit("url_date").alias("source"))
+    return F.get(F.filter(F.array(*places[:BEFORE_ADDRESS], address, *places[BEFORE_ADDRESS:]), lambda x: x["raw"].isNotNull()), F.lit(0))
+
+
+def meta_by_pattern(html: Column) -> Column:
+    """struct(title, description, published_at, keywords) of a page by patterns, for listings whose pages aren't parsed."""
+    some = lambda *ps: F.coalesce(*[_found(html, p) for p in ps])
+    words = F.filter(F.transform(F.split(some(_META % ("name", "keywords")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.struct(
+        F.trim(some(_META % ("property", "og:title"), _META % ("name", "twitter:title"), r"(?is)<title[^>]*>(.*?)</title>")).alias("title"),
+        F.trim(some(_META % ("name", "description"), _META % ("property", "og:description"), _META % ("name", "twitter:description"))).alias("description"),
+        some(*[DATE_PLACES[i][1] for i in (0, 1, 2, 5)]).alias("published_at"),
+        words.alias("keywords"),
+    )
+
+
 class _Page(HTMLParser):
     """Collects what the functions below return; unclosed elements and stray ends don't matter."""
 
