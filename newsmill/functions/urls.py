@@ -34,6 +34,11 @@ def with_url(df: DataFrame, column: str, prefix: str = "u_") -> DataFrame:
     return once(df, **{prefix + n: F.when(ok, F.lower(p) if n in ("scheme", "host") else p) for i, n in enumerate(_PARTS) for p in [F.regexp_extract(column, URL, i + 1)]})
 
 
+def valid_path(p: str = "u_") -> Column:
+    """The path of a web address whose host has at least three characters; null for any other."""
+    return F.when(F.col(p + "scheme").isin("http", "https") & (F.length(p + "host") >= 3), F.col(p + "path"))
+
+
 def _port(p: str, any_default: bool = False) -> Column:
     port, scheme = F.col(p + "port"), F.col(p + "scheme")
     gone = (port == "") | (port.isin("80", "443") if any_default else ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")))

@@ -81,6 +81,15 @@ def is_article_like(site: Column, p: str = "u_") -> Column:
     return F.coalesce((F.col(p + "site") == site) & (path != "") & (path.contains("/") | one), F.lit(False))
 
 
+def is_single_article(p: str = "u_") -> Column:
+    """Strong signs of one article, whatever the depth of the path: a date, six digits, a long last segment or one with
+    many hyphens."""
+    path = F.regexp_replace(p + "path", "^/+|/+$", "")
+    last = F.element_at(F.split(path, "/"), -1)
+    dated = F.col(p + "path").rlike(r"/(?:19|20)\d{2}/[01]\d/[0-3]\d(?:/|$)")
+    return (path != "") & (dated | path.rlike(r"\d{6,}") | (F.length(last) > 40) | (F.length(F.regexp_replace(last, "[^-]", "")) > 4))
+
+
 def link_signals(site: Column, category: Column, title: Column, date: Column, p: str = "u_") -> Column:
     """The names in ``POINTS`` that hold of a link; ``category`` is a path without a final slash, null for none."""
     path = F.col(p + "page")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..operators import access
+from ..operators import access, bodies
 from ..session import table
 from ..sources import structured
 from .url_plans import PATH, PORT, parts_sql
@@ -129,12 +129,16 @@ def page_candidates(spark, sf):
     return g.select("extraction_id", "m.selector", "n", c("m.s").alias("best"))
 
 
-@query("SELECT extraction_id, greatest(0, least(1, round(CASE WHEN length(trim(body_text)) >= 1200 THEN 0.4 WHEN length(trim(body_text)) >= 500 THEN 0.25 ELSE 0 END + CASE WHEN trim(title) <> '' THEN 0.2 ELSE 0 END + CASE WHEN author IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN published_at IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN image_url IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN list_contains(quality_signals, 'lead_match') THEN 0.1 ELSE 0 END, 6))) AS confidence FROM article_extractions")
+_HAS = "CASE WHEN coalesce(trim({}), '') <> '' THEN {} ELSE 0 END"
+
+
+@query(
+    "SELECT extraction_id, round(greatest(0.0, least(1.0, CASE WHEN n >= 2000 THEN 0.4 WHEN n >= 1000 THEN 0.3 WHEN n >= 500 THEN 0.2 ELSE 0 END + CASE WHEN n >= 3000 THEN 0.1 WHEN n >= 1500 THEN 0.05 ELSE 0 END + CASE WHEN extract_method = 'article' THEN 0.15 WHEN extract_method IS NOT NULL THEN 0.05 ELSE 0 END + "
+    + " + ".join(_HAS.format(x, w) for x, w in (("title", 0.1), ("excerpt", 0.05), ("author", 0.05), ("published_at", 0.05)))
+    + " - CASE WHEN coalesce(is_paywall, false) THEN 0.15 ELSE 0 END)), 6) AS confidence FROM (SELECT *, coalesce(length(body_text), 0) AS n FROM article_extractions)"
+)
 def page_confidence(spark, sf):
-    n = F.length(F.trim("body_text"))
-    part = lambda cond, w: F.when(cond, w).otherwise(0.0)
-    total = F.when(n >= 1200, 0.4).when(n >= 500, 0.25).otherwise(0.0) + part(F.trim("title") != "", 0.2) + part(c("author").isNotNull(), 0.1) + part(c("published_at").isNotNull(), 0.1) + part(c("image_url").isNotNull(), 0.1) + part(F.array_contains("quality_signals", "lead_match"), 0.1)
-    return table(spark, sf, "article_extractions").select("extraction_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(total, 6))).alias("confidence"))
+    return table(spark, sf, "article_extractions").select("extraction_id", bodies.confidence(*map(c, ("body_text", "extract_method", "title", "excerpt", "author", "published_at", "is_paywall"))).alias("confidence"))
 
 
 @query("SELECT extraction_id, unnest(quality_signals) AS signal FROM article_extractions")

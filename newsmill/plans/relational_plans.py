@@ -141,22 +141,27 @@ def rate_limit(spark, sf):
     return t.select("user_id", "event_id", "ts", (n > 3).alias("limited"))
 
 
+#: Articles of a page of a user's feed.
+PAGE = 20
+
+
 @query(
-    """WITH subs AS (SELECT DISTINCT o_custkey AS user_id, o_orderkey % 40 AS k FROM orders WHERE o_orderstatus <> 'F' AND o_custkey % 500 = 1),
-    src AS (SELECT source_id, row_number() OVER (ORDER BY source_id) - 1 AS k FROM sources),
-    scope AS (SELECT DISTINCT source_id FROM subs JOIN src USING (k)), cats AS (SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_custkey % 500 = 2)
-    SELECT d.doc_id, s.media_name, d.title, d.published_at FROM documents d JOIN sources s ON d.source = s.source_id
-    WHERE d.title IS NOT NULL AND length(trim(d.text)) >= 500 AND (d.source IN (SELECT source_id FROM scope WHERE source_id < 'src-1500') OR d.category = 'world')"""
+    f"""WITH subs AS (SELECT DISTINCT o_custkey AS user_id, o_orderkey % 40 AS k FROM orders WHERE o_orderstatus <> 'F'), src AS (SELECT source_id, media_name, row_number() OVER (ORDER BY source_id) - 1 AS k FROM sources),
+    d AS (SELECT doc_id, source, title, published_at FROM documents WHERE title IS NOT NULL AND length(trim(text)) >= 500),
+    r AS (SELECT user_id, doc_id, media_name, title, row_number() OVER (PARTITION BY user_id ORDER BY published_at DESC NULLS LAST, doc_id DESC) AS rank FROM subs JOIN src USING (k) JOIN d ON d.source = src.source_id)
+    SELECT user_id, CAST(rank AS INT) AS rank, doc_id, media_name, title FROM r WHERE rank <= {PAGE}"""
 )
 def user_feed(spark, sf):
-    """Publishable articles of subscribed sources or categories: two semi-joins united, no disjunctive join."""
-    docs = table(spark, sf, "documents").where("title is not null and length(trim(text)) >= 500").select("doc_id", "source", "title", "category", "published_at")
-    subs = table(spark, sf, "orders").where("o_orderstatus <> 'F' and o_custkey % 500 = 1").select((c("o_orderkey") % 40).alias("k")).distinct()
-    src = table(spark, sf, "sources").select("source_id", "media_name")  # tens of rows at every scale
-    numbered = src.withColumn("k", F.row_number().over(Window.orderBy("source_id")) - 1)
-    scope = numbered.join(subs, "k", "left_semi").where("source_id < 'src-1500'").select(c("source_id").alias("source"))
-    hit = docs.join(scope, "source", "left_semi").unionByName(docs.where("category = 'world'")).dropDuplicates(["doc_id"])
-    return hit.join(F.broadcast(src), hit.source == src.source_id).select("doc_id", "media_name", "title", "published_at")
+    """The first page of every user's feed: publishable articles of the sources that they follow, newest first.  A
+    page needs no more than a page of each source, so sources are cut to one before they meet their followers."""
+    docs = table(spark, sf, "documents").where("title is not null and length(trim(text)) >= 500").select("doc_id", "source", "title", "published_at")
+    newest = [F.desc_nulls_last("published_at"), F.desc("doc_id")]
+    docs = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(*newest))).where(c("n") <= PAGE).drop("n")
+    subs = table(spark, sf, "orders").where("o_orderstatus <> 'F'").select(c("o_custkey").alias("user_id"), (c("o_orderkey") % 40).alias("k")).distinct()
+    src = table(spark, sf, "sources").select("source_id", "media_name").withColumn("k", F.row_number().over(Window.orderBy("source_id")) - 1)
+    heads = docs.join(src, docs.source == src.source_id).select("k", "doc_id", "media_name", "title", "published_at")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(*newest))
+    return subs.join(heads, "k").withColumn("rank", rank).where(c("rank") <= PAGE).select("user_id", "rank", "doc_id", "media_name", "title")
 
 
 @query(f"SELECT source, count(*) AS n FROM documents WHERE title IS NOT NULL AND length(trim(text)) >= 500 AND CAST(published_at AS TIMESTAMP) > TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND CAST(published_at AS TIMESTAMP) <= TIMESTAMP '{NOW}' GROUP BY source")

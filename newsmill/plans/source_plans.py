@@ -68,9 +68,9 @@ def feed_rss_items(spark, sf):
     return feeds.rss_items(rss_bodies(_items(spark, sf)), "body", clean=False).drop("ord")
 
 
-@query(f"SELECT item_id, {_T.format('title')} AS title, {_T.format('guid')} AS guid, {_T.format('pub_date')} AS pub_date, {_T.format('description')} AS description, {_CATS} AS categories FROM feed_items")
+@query(f"SELECT item_id, {_T.format('title')} AS title, {_T.format('link')} AS link, {_T.format('guid')} AS guid, {_T.format('pub_date')} AS pub_date, {_T.format('description')} AS description, {_CATS} AS categories FROM feed_items")
 def feed_atom_items(spark, sf):
-    return feeds.atom_items(atom_bodies(_items(spark, sf)), "body", clean=False).drop("ord", "link")
+    return feeds.atom_items(atom_bodies(_items(spark, sf)), "body", clean=False).drop("ord")
 
 
 @query(f"SELECT item_id, {_T.format('title')} AS title, {_T.format('link')} AS link, {_T.format('guid')} AS guid, {_T.format('pub_date')} AS pub_date, {_T.format('description')} AS description, {_CATS} AS categories FROM feed_items")
@@ -163,14 +163,13 @@ def page_bodies(spark, sf):
 _ONE = "nullif(trim(regexp_replace({}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')), '')"
 
 
-@query("SELECT extraction_id, resolved_url AS canonical_url FROM article_extractions")
+@query(f"SELECT extraction_id, resolved_url AS canonical_url, coalesce({_ONE.format('title')}, 'x | y') AS title, {_ONE.format('excerpt')} AS excerpt, {_ONE.format('image_url')} AS image_url, {_ONE.format('author')} AS author, {_ONE.format('published_at')} AS published_at FROM article_extractions")
 def page_meta(spark, sf):
-    return pages.page_meta(page_bodies(spark, sf), "extraction_id", "html").select("extraction_id", "canonical_url")
-
-
-@query()
-def page_meta_full(spark, sf):
-    return pages.page_meta(page_bodies(spark, sf), "extraction_id", "html")
+    """All metadata of pages: those of page_bodies() with image, author and date in the head."""
+    t = table(spark, sf, "article_extractions")
+    more = F.concat(F.lit('<meta property="og:image" content="'), _escape("image_url"), F.lit('"><meta name="author" content="'), _escape("author"), F.lit('"><meta property="article:published_time" content="'), _escape("published_at"), F.lit('">'))
+    both = page_bodies(spark, sf).join(t.select("extraction_id", more.alias("more")), "extraction_id")
+    return pages.page_meta(both.select("extraction_id", F.concat("more", "html").alias("html")), "extraction_id", "html")
 
 
 @query()

@@ -36,13 +36,13 @@ def _policy_sql() -> str:
     return f"""SELECT item_id, why IS NULL AS accepted, why AS reason FROM (SELECT item_id, CASE WHEN p IS NULL THEN 'invalid_url' WHEN p = '' THEN 'utility_path' WHEN regexp_matches(q, '{P.SEARCH}') AND NOT regexp_matches(q, '{P.NO_SEARCH}') THEN 'search_or_query_page'
     WHEN regexp_matches(q, '{P.FEED}') THEN 'feed_or_archive_path' WHEN NOT (worst = 0 OR (worst <= {P.STRONG_NEGATIVE} AND real >= {P.OVERRIDE_STRONG}) OR (worst > {P.STRONG_NEGATIVE} AND (fav >= {P.OVERRIDE} OR against + fav >= 0))) THEN {reason} END AS why
     FROM (SELECT *, {total([(w, h) for w, _, h in neg])} AS against, {total([(w, h) for w, h, _ in pos])} AS fav, {total([(w, h) for w, h, r in pos if r])} AS real, least({', '.join(f'CASE WHEN {h} THEN {w} ELSE 0 END' for w, _, h in neg)}) AS worst
-    FROM (SELECT item_id, lower(regexp_replace(u_path, '/+$', '')) AS p, lower(u_query) AS q FROM {parts_sql("SELECT item_id, link FROM feed_items", "link")})))"""
+    FROM (SELECT item_id, lower(regexp_replace(CASE WHEN u_scheme IN ('http', 'https') AND length(u_host) >= 3 THEN u_path END, '/+$', '')) AS p, lower(u_query) AS q FROM {parts_sql("SELECT item_id, link FROM feed_items", "link")})))"""
 
 
 @query(_policy_sql())
 def url_policy(spark, sf):
     t = U.with_url(table(spark, sf, "feed_items").select("item_id", "link"), "link")
-    return P.judged(t, "u_path", "u_query").select("item_id", "accepted", "reason")
+    return P.judged(t.withColumn("__path", U.valid_path()), "__path", "u_query").select("item_id", "accepted", "reason")
 
 
 def url_policy_signals(spark, sf):

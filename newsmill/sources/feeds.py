@@ -106,3 +106,13 @@ def sitemap_entries(df: DataFrame, body: str) -> DataFrame:
     rows = rows.select(*keep, "ord", "is_index", F.trim(_tag(b, "loc")).alias("loc"), F.nullif(F.trim(_first(_tag(b, "news:publication_date"), _tag(b, "lastmod"))), F.lit("")).alias("lastmod"))
     first = rows.where("loc <> ''").groupBy(*keep, "loc").agg(F.min(F.struct("ord", "lastmod", "is_index")).alias("m"))
     return first.select(*keep, "loc", "m.ord", "m.lastmod", "m.is_index")
+
+
+def post_candidates(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, ord, url, headline, published) of a CMS's list of posts as JSON (link, title or title.rendered, date): posts
+    with a link, each once, in order.  Bodies that are no such list give no row."""
+    post = "array<struct<link:string,title:string,date:string>>"
+    t = df.select(key, F.posexplode(F.from_json(body, post)).alias("ord", "p")).where("p.link <> ''")
+    headline = F.trim(F.coalesce(F.get_json_object("p.title", "$.rendered"), F.when(~F.startswith(F.col("p.title"), F.lit("{")), F.col("p.title"))))
+    t = t.select(key, "ord", F.col("p.link").alias("url"), headline.alias("headline"), F.col("p.date").alias("published"))
+    return t.groupBy(key, "url").agg(F.min(F.struct("ord", "headline", "published")).alias("m")).select(key, "m.ord", "url", "m.headline", "m.published")
