@@ -43,6 +43,8 @@ SLICE = 128
 #: Pages that a form must be on to be judged by its places, and the share of outer places that makes it furniture,
 #: for lines with a final stop and for others.
 LEAST_PAGES, OUTER_STOPPED, OUTER = 5, 0.95, 0.5
+#: Share of a form's lines with a final stop that some neighbour has word for word, from which places decide.
+AGAIN = 0.2
 #: Neighbours that must share a paragraph.
 PARAGRAPH_SHARES = 3
 #: Characters from which a line with a final stop is a paragraph, and where a script has no spaces.
@@ -248,10 +250,12 @@ def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> Dat
             times = known[at]
             shared = {i for i, n in times.items() if n >= (PARAGRAPH_SHARES if lines[i]["kind"] & 3 == 3 else 1)}
             prose = [i for i, x in enumerate(lines) if (x["kind"] & 3 == 3 or x["kind"] & 10 == 10) and i not in shared]
-            first, last = (prose[0], prose[-1]) if prose else (-1, -1)
+            # The article lies between its first and last paragraph that no neighbour has.
+            sure = [i for i in prose if i not in times] or prose
+            first, last = (sure[0], sure[-1]) if prose else (-1, -1)
             for i, x in enumerate(lines):
-                rows.append((r.page, x["no"], i in shared, x["form"], x["kind"], bool(prose) and not first <= i <= last, bool(prose)))
-        return pd.DataFrame(rows, columns=[key, "line_no", "shared", "form", "kind", "outer", "has_text"])
+                rows.append((r.page, x["no"], i in shared, i in times, x["form"], x["kind"], bool(prose) and not first <= i <= last, bool(prose)))
+        return pd.DataFrame(rows, columns=[key, "line_no", "shared", "met", "form", "kind", "outer", "has_text"])
 
     id_type = pages.schema[key].dataType.simpleString()
     p = pages.select(F.col(key), strip_space(F.col(url)).alias("url"), F.col(title).alias("title"), F.col(text).alias("text"))
@@ -275,7 +279,7 @@ def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> Dat
     near = F.array_distinct(F.array(*[F.floor((c("l_place") + d) / SLICE) for d in (-NEIGHBOURS - 2, 0, NEIGHBOURS + 2)]))
     listed = listed.withColumn("at", F.explode(near))
     listed = small_join(listed, parts.select(c("slice").alias("at"), "parts"), ["at"], "l_place", "inner").withColumn("of", F.explode(F.sequence(F.lit(0), c("parts") - 1))).drop("parts")
-    ddl = f"`{key}` {id_type}, line_no int, shared boolean, form bigint, kind tinyint, outer boolean, has_text boolean"
+    ddl = f"`{key}` {id_type}, line_no int, shared boolean, met boolean, form bigint, kind tinyint, outer boolean, has_text boolean"
     lines = cut(listed.groupBy("at", "of").cogroup(pages_.groupBy("slice", "part")).applyInPandas(align, ddl))
     # Teasers: a core of the line is the form of a headline.
     by_form = feats.select(F.explode("lines").alias("x")).where(F.size("x.cores") > 0).select("x.form", F.explode("x.cores").alias("core")).distinct()
@@ -285,11 +289,11 @@ def classify(pages: DataFrame, key: str, url: str, title: str, text: str) -> Dat
     told = told.where("has_text").withColumn("above_teaser", F.coalesce(F.lead("teaser").over(page), F.lit(False)))
     told = cut(told.withColumn("run", F.sum(F.when(F.col("kind") % 4 >= 1, 1).otherwise(0)).over(page.rowsBetween(Window.unboundedPreceding, 0))))
     share = lambda c: F.avg(F.col(c).cast("double"))
-    stats = told.groupBy("form").agg(F.count("*").alias("n"), share("outer").alias("outside"), share("shared").alias("common"), share("above_teaser").alias("heading"))
+    stats = told.groupBy("form").agg(F.count("*").alias("n"), share("outer").alias("outside"), share("shared").alias("common"), share("met").alias("again"), share("above_teaser").alias("heading"))
     stats = cut(stats.where(F.col("n") >= LEAST_PAGES))
     told = small_join(told, stats, ["form"], key)
     known, prose, signed, teaser = c("n").isNotNull(), c("kind") % 4 >= 1, c("kind").bitwiseAND(4) != 0, F.coalesce(c("teaser"), F.lit(False))
-    by_place = F.when(prose, (c("outside") >= OUTER_STOPPED) | ((c("common") >= 0.5) & (c("outside") >= OUTER))).otherwise(teaser | (c("outside") >= OUTER) | (c("common") >= 0.5) | (c("heading") >= 0.5))
+    by_place = F.when(prose, (c("outside") >= OUTER_STOPPED) | (((c("common") >= 0.5) | (c("again") >= AGAIN)) & (c("outside") >= OUTER))).otherwise(teaser | (c("outside") >= OUTER) | (c("common") >= 0.5) | (c("heading") >= 0.5))
     told = told.withColumn("in_block", F.max(~prose & (teaser | F.coalesce(c("heading") >= 0.5, F.lit(False)))).over(Window.partitionBy(key, "run")))
     capitals = c("kind").bitwiseAND(16) != 0
     furniture = F.when(known, by_place).otherwise(capitals | ~prose & (c("shared") | teaser | signed | ((c("outer") | c("in_block")) & (c("kind").bitwiseAND(8) == 0))))
