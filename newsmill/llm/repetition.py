@@ -7,7 +7,9 @@ only reads the ledger.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,6 +22,8 @@ from ..session import table
 
 #: A passage is so many words, or letters where a script has no spaces.
 PASSAGE_WORDS, PASSAGE_LETTERS = 8, 15
+#: A text is one of a script without spaces from 1/DENSE of its letters.
+DENSE = 4
 #: Rules: name, measure, and the least value that fails.  A rule's place is its bit and never changes.
 RULES = [
     ("passages", "passage_share", 0.3),
@@ -33,40 +37,74 @@ POLICIES = {1: 0b00001, 2: 0b00111, 3: 0b11111}
 _MEASURES = [m for _, m, _ in RULES]
 
 _SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー]")
+_DENSE_RUN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー]{15,}")
 _NO_LETTER = regex.compile(r"[^\p{L}\p{M}\s]+")
 
 
-def _units(text: str) -> tuple[list[str], int]:
-    """The words of a text, or its letters where most are of a script without spaces; and the passage's length."""
-    words = _NO_LETTER.sub("", unicodedata.normalize("NFKC", text).casefold()).split()
-    if not text.isascii():
-        letters = "".join(words)
-        if len(_SPACELESS.findall(letters)) * 2 > len(letters):
-            return list(letters), PASSAGE_LETTERS
-    return words, PASSAGE_WORDS
+def _words(text: str) -> list[str]:
+    return _NO_LETTER.sub("", unicodedata.normalize("NFKC", text).casefold()).split()
 
 
-def _repeated(units: list[str], n: int) -> float:
-    if len(units) <= n:
-        return 0.0
-    grams = list(zip(*(units[i:] for i in range(n))))
+def _dense(letters: str) -> int:
+    return 0 if letters.isascii() else len(_SPACELESS.findall(letters))
+
+
+def _units(words: list[str]) -> list[str]:
+    """The words of a text, or its letters where a quarter of them or more are of a script without spaces (names in
+    other letters stand in such texts)."""
+    letters = "".join(words)
+    return list(letters) if letters and _dense(letters) * DENSE >= len(letters) else words
+
+
+def _again(grams: list) -> list[int]:
+    """Places of the grams that occurred before."""
     if len(set(grams)) == len(grams):
-        return 0.0
-    seen: set[tuple[str, ...]] = set()
-    repeated, until = 0, 0  # until: first unit that isn't counted yet
-    for i, gram in enumerate(grams):
-        if gram in seen:
-            repeated += sum(map(len, units[max(i, until) : i + n]))
-            until = i + n
+        return []
+    seen: set = set()
+    out = []
+    for i, g in enumerate(grams):
+        if g in seen:
+            out.append(i)
         else:
-            seen.add(gram)
-    return repeated / sum(map(len, units))
+            seen.add(g)
+    return out
+
+
+def _word_grams(words: list[str]) -> list[bytes]:
+    """Runs of words as the bytes of their numbers."""
+    numbers: dict[str, int] = {}
+    ids = array("I", [numbers.setdefault(w, len(numbers)) for w in words])
+    return [ids[i : i + PASSAGE_WORDS].tobytes() for i in range(len(words) - PASSAGE_WORDS + 1)]
+
+
+def _repeated(words: list[str]) -> float:
+    """Share of the letters in passages that occurred before.  In a text of a script without spaces passages are runs of
+    letters, and of words where it holds so many without such a letter; in other texts they are runs of words, and of
+    letters where so many of such a script stand together."""
+    letters = "".join(words)
+    dense = _dense(letters)
+    by_letter = bool(letters) and dense * DENSE >= len(letters)
+    marks: list[tuple[int, int]] = []
+    if len(words) > PASSAGE_WORDS:
+        at = [0, *itertools.accumulate(map(len, words))]
+        plain = [not dense or not _SPACELESS.search(w) for w in words] if by_letter else []
+        if not by_letter or sum(plain) > PASSAGE_WORDS:
+            marks += [(at[i], at[i + PASSAGE_WORDS]) for i in _again(_word_grams(words)) if not by_letter or all(plain[i : i + PASSAGE_WORDS])]
+    if dense and len(letters) > PASSAGE_LETTERS:
+        runs = [(0, len(letters))] if by_letter else [m.span() for m in _DENSE_RUN.finditer(letters)]
+        places = [i for a, z in runs for i in range(a, z - PASSAGE_LETTERS + 1)]
+        marks += [(places[j], places[j] + PASSAGE_LETTERS) for j in _again([letters[i : i + PASSAGE_LETTERS] for i in places])]
+    covered, until = 0, 0
+    for a, z in sorted(marks):
+        covered += max(0, z - max(a, until))
+        until = max(until, z)
+    return covered / len(letters) if letters else 0.0
 
 
 def passage_share(text: str | None) -> float:
     """Characters of words in passages that occurred before in the text, over the characters of all words; 0 where
     there is no word.  Passages may overlap; a character counts once."""
-    return _repeated(*_units(text)) if text else 0.0
+    return _repeated(_words(text)) if text else 0.0
 
 
 def _share_again(parts: list[str]) -> float:
@@ -83,11 +121,12 @@ def _share_again(parts: list[str]) -> float:
 def _measure(text: str | None) -> tuple[float, ...]:
     if not text or not text.strip():
         return (0.0,) * len(RULES)
-    units, n = _units(text)
+    words = _words(text)
+    units = _units(words)
     counts = Counter(units)
     top = max(counts.values()) / len(units) if len(units) >= 20 else 0.0
     few = 1 - len(counts) / len(units) if len(units) >= 20 else 0.0
-    return _repeated(units, n), _share_again(text.splitlines()), _share_again(regex.split(r"\n\s*\n", text)), top, few
+    return _repeated(words), _share_again(text.splitlines()), _share_again(regex.split(r"\n\s*\n", text)), top, few
 
 
 def ledger(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,7 +6,9 @@ from newsmill.llm import repetition as R
 
 
 def _brute(text):
-    units, n = R._units(text)
+    words = R._words(text)
+    units = R._units(words)
+    n = R.PASSAGE_WORDS if units is words else R.PASSAGE_LETTERS
     covered = set()
     for i in range(len(units) - n + 1):
         if any(units[j : j + n] == units[i : i + n] for j in range(i)):
@@ -41,3 +43,18 @@ def test_ledger(spark):
     got = {r.rule: (r.failing, r.only_this) for r in R.ablation(led, 2).collect()}
     assert got["passages"] == (2, 0) and got["lines"] == (2, 0) and got["paragraphs"] == (0, 0)
     assert R.ledger(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+def test_texts_of_two_scripts():
+    ja = "市議会は新しい図書館の建設計画を延期すると発表した。"
+    names = "Dentgarth Tronholm Foambecombe Saesso Vollick Haellmere Vorveridge Leinholm Paenefell Stiredale Grumbor"
+    # Names in Latin letters don't make a Japanese text one of words.
+    mixed = "".join(f"{n}の{ja}" for n in names.split())
+    assert R.passage_share(mixed) > 0.6
+    # Each half by its own passage.
+    en = "the council put off the plan for a new library until the spring of next year"
+    other = "a bakery in the old town sells bread to the ferry crews every night and day"
+    whole = f"{en} {other} {ja}{ja}"
+    assert R.passage_share(whole) == pytest.approx(25 / len("".join(R._words(whole))))
+    assert R.passage_share(f"{ja}{ja[::-1]} {en} {en}") > 0.2
+    assert R.passage_share(f"{en} {other} 市議会は 市議会は") == 0.0
