@@ -315,7 +315,7 @@ def merge_delete(spark, sf):
 def merge_remap(spark, sf):
     """Foreign keys rewritten by a mapping."""
     m = table(spark, sf, "sources").select("source_id", F.min("source_id").over(Window.partitionBy("country_code")).alias("winner"))
-    return table(spark, sf, "feed_items").join(F.broadcast(m), "source_id", "left").select("item_id", F.coalesce("winner", "source_id").alias("source_id"))
+    return table(spark, sf, "feed_items").join(m, "source_id", "left").select("item_id", F.coalesce("winner", "source_id").alias("source_id"))
 
 
 @query("SELECT count(*) AS violations FROM article_extractions e JOIN feed_items i USING (item_id) WHERE e.source_id <> i.source_id")

@@ -156,7 +156,7 @@ QUERIES["host_public"] = host_public
 def publisher_family(spark, sf):
     s = table(spark, sf, "sources").select("source_id", F.regexp_replace(F.lower(F.regexp_extract("front_page_url", r"://([^/?#:]+)", 1)), r"^www\.", "").alias("f"))
     t = U.with_url(table(spark, sf, "feed_items").select("source_id", "link"), "link").select("source_id", F.col("u_host").alias("host")).where("host is not null").distinct()
-    return t.join(F.broadcast(s), "source_id").select("source_id", "host", U.same_family(F.col("host"), F.col("f")).alias("same_family"))
+    return t.join(s, "source_id").select("source_id", "host", U.same_family(F.col("host"), F.col("f")).alias("same_family"))
 
 
 @query(
