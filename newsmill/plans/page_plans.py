@@ -51,6 +51,22 @@ def jsonld_articles(spark, sf):
     return structured.page_articles(structured_pages(spark, sf), "extraction_id", "html", "resolved_url").select("extraction_id", "ord", "url", "type")
 
 
+@query(
+    """SELECT extraction_id, CASE extraction_id % 4 WHEN 0 THEN 'isAccessibleForFree:false' ELSE 'PaywalledContent' END AS code, CASE extraction_id % 4 WHEN 0 THEN 'matched' ELSE 'unstated' END AS state
+    FROM article_extractions WHERE regexp_matches(resolved_url, '^https?://[a-z0-9.-]+/') AND extraction_id % 4 < 2"""
+)
+def jsonld_paywall(spark, sf):
+    """Walls that pages declare: of the page itself, of one nameless article, of another page, and none at all."""
+    k = c("extraction_id") % 4
+    node = F.struct(
+        F.lit("NewsArticle").alias("@type"), F.when(k == 0, c("resolved_url")).when(k == 2, F.lit("https://other.example/x")).alias("url"), F.when(k.isin(0, 2), False).when(k == 3, True).alias("isAccessibleForFree"),
+        F.when(k == 1, F.array(F.struct(F.lit("PaywalledContent").alias("@type")))).alias("hasPart"),
+    )
+    html = F.concat(F.lit('<script type="application/ld+json">{broken</script><script type="application/ld+json">'), F.replace(F.to_json(node), F.lit("</"), F.lit("<\\/")), F.lit("</script>"))
+    t = table(spark, sf, "article_extractions").where(c("resolved_url").rlike("^https?://[a-z0-9.-]+/")).select("extraction_id", "resolved_url", html.alias("html"))
+    return structured.page_walls(t, "extraction_id", "html", "resolved_url").select("extraction_id", "code", "state")
+
+
 def _signal_sql(kind: str, column: str) -> str:
     return "regexp_matches(lower(coalesce(" + column + ", '')), '" + "|".join(f"(?:{p})" for p in access.KINDS[kind]).replace("'", "''") + "')"
 

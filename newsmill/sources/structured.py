@@ -130,3 +130,71 @@ def page_articles(df: DataFrame, key: str, html: str, url: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     some = df.select(key, script_blocks(F.col(html)).alias("blocks"), next_data(F.col(html)).alias("state"), F.col(url).alias("base")).where("size(blocks) > 0 or state is not null")
     return some.mapInPandas(run, f"`{key}` {kind}, ord int, url string, headline string, published_at string, author string, type string")
+
+
+#: Article types whose nodes can declare a wall, the part that does, and most signals of a page (fixed values).
+WALLED, WALLED_PART, SIGNALS = {"article", "newsarticle", "reportagenewsarticle", "analysisnewsarticle"}, "paywalledcontent", 8
+
+
+def _where(address: str | None, base: str | None) -> str | None:
+    """Origin and path of an address, None where it is none; letter case of the path counts."""
+    try:
+        u = urlsplit(urljoin(base or "", (address or "").strip()))
+        port = f":{u.port}" if u.port and (u.scheme, u.port) not in (("http", 80), ("https", 443)) else ""
+        return f"{u.scheme}://{u.hostname}{port}{u.path.rstrip('/') or '/'}" if u.scheme in ("http", "https") and u.hostname else None
+    except ValueError:
+        return None
+
+
+def _own_address(node: dict) -> str | None:
+    page = node.get("mainEntityOfPage")
+    inner = [page.get("url"), page.get("@id")] if isinstance(page, dict) else [page]
+    return next((x.strip() for x in [node.get("url"), node.get("@id"), *inner] if isinstance(x, str) and x.strip()), None)
+
+
+def wall_signals(values: list, address: str | None) -> list[tuple[str, str]]:
+    """(code, state) of the walls that a page's structured data declare for its article: ``matched`` where the node has
+    the page's address (or stands in one that has), ``unstated`` where it has none, which counts only if it is the
+    page's one article and nothing matched.  Nodes of other addresses declare nothing, nor does any where the page's own
+    address is malformed."""
+    here = _where(address, None)
+    if here is None and (address or "").strip():
+        return []
+    found: list[tuple[str, str]] = []
+    articles = others = 0
+    stack = [(v, None, False) for v in reversed(values)]
+    while stack:
+        node, above, inside = stack.pop()
+        if isinstance(node, list):
+            stack += [(x, above, inside) for x in reversed(node)]
+            continue
+        if not isinstance(node, dict):
+            continue
+        own = _own_address(node) or above
+        state = ("matched" if _where(own, address) == here else "conflicting") if own and here else "matched" if inside else "unstated"
+        if WALLED & {t.strip().lower() for t in types(node.get("@type"))}:
+            articles += 1
+            others += state == "conflicting"
+            if node.get("isAccessibleForFree") is False:
+                found.append(("isAccessibleForFree:false", state))
+            parts = node.get("hasPart")
+            for part in parts if isinstance(parts, list) else [parts]:
+                if isinstance(part, dict) and WALLED_PART in {t.lower() for t in types(part.get("@type"))}:
+                    found.append(("PaywalledContent", state))
+        stack += [(x, own, state == "matched") for x in reversed(list(node.values())) if isinstance(x, (dict, list))]
+    sure = [f for f in found if f[1] == "matched"]
+    alone = articles == 1 and not others
+    return (sure or [f for f in found if f[1] == "unstated" and alone])[:SIGNALS]
+
+
+def page_walls(df: DataFrame, key: str, html: str, url: str) -> DataFrame:
+    """(key, ord, code, state) of wall_signals() for each page; broken scripts and pages without any give no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, i, *s) for k, x, u in zip(b[key], b["blocks"], b["base"]) for i, s in enumerate(wall_signals([parse(t) for t in x], u))]
+            yield pd.DataFrame(rows, columns=[key, "ord", "code", "state"])
+
+    kind = df.schema[key].dataType.simpleString()
+    some = df.select(key, script_blocks(F.col(html)).alias("blocks"), F.col(url).alias("base")).where("size(blocks) > 0")
+    return some.mapInPandas(run, f"`{key}` {kind}, ord int, code string, state string")

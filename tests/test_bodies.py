@@ -5,6 +5,7 @@ from newsmill.functions import text as T
 from newsmill.operators import access, bodies
 from newsmill.sources import containers as C
 from newsmill.sources import pages
+from newsmill.sources import structured as S
 from newsmill.sources.dom import tree
 
 P = ["The harbour board of the town decided on Monday that the old grain store at the quay will be sold, said its chair, after a debate of %d hours." % i for i in range(1, 9)]
@@ -92,6 +93,20 @@ def test_access_decision(spark):
     assert got[17].evidence == ["partial_body_without_evidence", "topic_signals"] and got[7].evidence == ["article_scoped_cta", "body_truncation_detected"]
 
 
+def test_declared_walls():
+    free = {"@type": ["WebPage", "NewsArticle"], "isAccessibleForFree": False}
+    part = {"@type": "Article", "hasPart": [{"@type": ["PaywalledContent"]}, "x", None]}
+    here = "https://a.example/News/1?x=1#y"
+    assert S.wall_signals([{**free, "url": "/News/1/"}], here) == [("isAccessibleForFree:false", "matched")]
+    assert S.wall_signals([{**free, "url": "/news/1"}], here) == []
+    assert S.wall_signals([free], here) == [("isAccessibleForFree:false", "unstated")] and S.wall_signals([free], None) == [("isAccessibleForFree:false", "unstated")]
+    assert S.wall_signals([free, part], here) == [] and S.wall_signals([free], "not an address") == []
+    assert S.wall_signals([free, {"@graph": [{**part, "mainEntityOfPage": {"@id": here}}]}], here) == [("PaywalledContent", "matched")]
+    assert S.wall_signals([{"@type": "Article", "@id": here, "about": free}], here) == [("isAccessibleForFree:false", "matched")]
+    assert S.wall_signals([{"isAccessibleForFree": False}, {"@type": "WebPage", "isAccessibleForFree": False}, None, 3, "x"], here) == []
+    assert S.wall_signals([{**free, "isAccessibleForFree": "False"}], here) == [] and S.wall_signals([], here) == []
+
+
 def test_publishable(spark):
     rows = [("t", "u", "x" * 500, True), ("t", "u", " " * 9 + "x" * 499, False), (" ", "u", "x" * 500, False), ("t", None, "x" * 500, False), ("t", "u", "Enable JavaScript and enable cookies " + "x" * 500, False), ("t", "u", "Enable JavaScript " + "x" * 500, True), ("t", "u", None, False)]
     df = spark.createDataFrame(rows, "t string, u string, b string, want boolean")
