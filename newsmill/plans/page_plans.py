@@ -9,6 +9,7 @@ from ..functions import urls as U
 from ..operators import access, bodies
 from ..session import table
 from ..sources import structured
+from .source_plans import _ONE
 from .url_plans import PATH, PORT, parts_sql
 
 QUERIES, ORACLE = {}, {}
@@ -43,12 +44,16 @@ def page_script_blocks(spark, sf):
     return structured_pages(spark, sf).select("extraction_id", F.size(structured.script_blocks(c("html"))).alias("n_blocks"), structured.next_data(c("html")).isNotNull().alias("has_state"))
 
 
+def _some(column: str) -> str:
+    return f"CASE WHEN {_ONE.format(column)} IS NOT NULL THEN {column} END"
+
+
 @query(
-    r"""SELECT extraction_id, 0 AS ord, regexp_replace(resolved_url, '#$', '') AS url, 'NewsArticle' AS type FROM article_extractions
-    UNION ALL SELECT extraction_id, 1, regexp_extract(resolved_url, '^[A-Za-z]+://[^/?#]+') || '/s/' || extraction_id, 'NextData' FROM article_extractions"""
+    rf"""SELECT extraction_id, 0 AS ord, regexp_replace(resolved_url, '#$', '') AS url, {_some("title")} AS headline, {_some("published_at")} AS published_at, {_some("author")} AS author, 'NewsArticle' AS type FROM article_extractions
+    UNION ALL SELECT extraction_id, 1, regexp_extract(resolved_url, '^[A-Za-z]+://[^/?#]+') || '/s/' || extraction_id, 'Next', NULL, NULL, 'NextData' FROM article_extractions"""
 )
 def jsonld_articles(spark, sf):
-    return structured.page_articles(structured_pages(spark, sf), "extraction_id", "html", "resolved_url").select("extraction_id", "ord", "url", "type")
+    return structured.page_articles(structured_pages(spark, sf), "extraction_id", "html", "resolved_url")
 
 
 @query(
