@@ -2,7 +2,8 @@
 
 Records made from one template are aligned by their sentences: names, figures and anything written like a variable are
 slots, the words between them the template.  A slot that other records fill differently is an induced one; a record
-that leaves a variable's name, a default or a blank in it is flagged.  Whole fields made of such values are flagged
+that leaves a variable's name, a default or a blank in it is flagged, also where no list knows the name's spelling and
+where nothing is left but the gap (both only by what other records have in the same place).  Whole fields made of such values are flagged
 as well, and so are whole-page templates: short fields that come again, but for numbers and codes, from several
 sources (error messages, notices about scripts, filler).  Messages that are rare are known by how they begin.
 
@@ -71,6 +72,9 @@ _STEM = regex.compile(r"(?:" + "|".join(sorted(FILLER_STEMS, key=len, reverse=Tr
 _TAG = regex.compile(r"\s*\[[\w-]{4,40}\]")
 _CODE = regex.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
 _SLOT = regex.compile(r"\p{Lu}\p{Ll}[\p{L}\p{M}’'\-]*+(?:[ \-]+\p{Lu}\p{Ll}[\p{L}\p{M}’'\-]*+)*|\d+")
+#: Names of variables without any mark around, and lines or question marks to be filled in: residue in an induced slot only.
+_ODD = regex.compile(r"(?<![\w@#/.:&=?-])(?:[A-Za-z]+(?:_[A-Za-z0-9]+)+|_{3,}|\?{3,})(?![\w@/=]|\.\w)")
+_MAYBE_ODD = regex.compile(r"_|\?{3}")
 _SENTENCES = regex.compile(r"(?<=[.!?。])\s+|\n+|\s+–\s+(?=–|\p{Lu})")
 
 
@@ -89,16 +93,30 @@ def residues(text: str) -> list[str]:
     return [m[0] for m in _VARIABLE.finditer(unquoted(text))]
 
 
-def templates(text: str) -> list[tuple[str, bool]]:
-    """Templates of the sentences that hold a slot, and whether a slot holds residue; slots are ▢."""
+def _template(left: str) -> str | None:
+    """A sentence with slots ▢ for names, figures and what was taken out (\x00), if it has a slot and two words."""
+    shape = _SLOT.sub("▢", left)
+    if "\x00" in left:
+        shape = regex.sub(r"[\x00▢](?:[\s,]*[\x00▢])*", "▢", shape)
+    return " ".join(shape.split()).lower() if "▢" in shape and len(_WORDS.findall(shape)) >= 2 else None
+
+
+def templates(text: str) -> list[tuple[str, str, str | None]]:
+    """(template, kind, gap) of the sentences that hold a slot.  ``kind``: ``left`` (a slot holds residue), ``odd`` (it
+    holds what may be residue) or ``filled``; ``gap`` is a ``left`` sentence's template with nothing in its place, if words
+    stand on both sides of it."""
     out = []
     for s in _SENTENCES.split(unquoted(text) if _MAYBE.search(text) else text):
         if not s:
             continue
         left = _VARIABLE.sub("\x00", s) if _MAYBE.search(s) else s
-        shape = regex.sub(r"[\x00▢](?:[\s,]*[\x00▢])*", "▢", _SLOT.sub("▢", left)) if "\x00" in left else _SLOT.sub("▢", left)
-        if "▢" in shape and len(_WORDS.findall(shape)) >= 2:
-            out.append((" ".join(shape.split()).lower(), "\x00" in left))
+        if t := _template(left):
+            gap = None
+            if "\x00" in left and _WORDS.search(left[: left.index("\x00")]) and _WORDS.search(left[left.rindex("\x00") :]):
+                gap = _template(left.replace("\x00", " "))
+            out.append((t, "left" if "\x00" in left else "filled", gap))
+        if "\x00" not in left and _MAYBE_ODD.search(s) and _ODD.search(s) and (t := _template(_ODD.sub("\x00", unquoted(s)))):
+            out.append((t, "odd", None))
     return out
 
 
@@ -135,8 +153,8 @@ def is_message(text: str) -> bool:
     return True
 
 
-_OUT = ["page", "residue", "bare", "filler", "message", "slots", "filled"]
-_DDL = "page bigint, residue boolean, bare boolean, filler boolean, message boolean, slots array<bigint>, filled array<bigint>"
+_OUT = ["page", "residue", "bare", "filler", "message", "slots", "filled", "odd", "gaps"]
+_DDL = "page bigint, residue boolean, bare boolean, filler boolean, message boolean, slots array<bigint>, filled array<bigint>, odd array<bigint>, gaps array<array<bigint>>"
 
 
 def _look(text: str) -> tuple:
@@ -146,22 +164,23 @@ def _look(text: str) -> tuple:
     bare = bool(found) and not _WORDS.search(_VARIABLE.sub(" ", unquoted(text)))
     return (
         _hash(page) if page and not found else None, bool(found), bare, is_filler(text), is_message(text),
-        list({_hash(t) for t, bad in forms if bad}), list({_hash(t) for t, bad in forms if not bad}),
+        *(list({_hash(t) for t, kind, _ in forms if kind == k}) for k in ("left", "filled", "odd")),
+        [[_hash(gap), _hash(t)] for t, _, gap in forms if gap],
     )
 
 
 def inspect(pages: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:
     """(key, field_name, why) of the fields that hold residue or consist of filler, a message or a notice.
 
-    ``why``: ``slot`` (residue in a slot that other records fill), ``variable`` (residue elsewhere), ``filler``,
+    ``why``: ``slot`` (residue or nothing in a slot that other records fill), ``variable`` (residue elsewhere), ``filler``,
     ``page`` (a repeated whole page) or ``message``.  Null, empty and blank fields are none; a row that comes twice is
     named twice; extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.list_(pa.int64()))]
         for b in batches:
-            got = list(zip(*map(_look, b.column(3).to_pylist()))) or [()] * 7
+            got = list(zip(*map(_look, b.column(3).to_pylist()))) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(list(v), k) for v, k in zip(got, kinds))], [key, "source", "field_name", *_OUT])
 
     kind = pages.schema[key].dataType.simpleString()
@@ -169,12 +188,22 @@ def inspect(pages: DataFrame, key: str, source: str, fields: list[str]) -> DataF
     rows = pages.select(F.col(key), F.col(source).alias("source"), F.explode(both).alias("f")).select(key, "source", "f.*").where("trim(text) <> ''")
     seen = cut(rows.mapInArrow(run, f"`{key}` {kind}, source string, field_name string, {_DDL}"))
     # Induced slots: templates that some record left residue in and others fill.
-    open_ = seen.where(F.size("slots") > 0).select(key, "field_name", F.explode("slots").alias("t"))
-    wanted = open_.select("t").distinct()
-    filled = seen.where(F.size("filled") > 0).select(F.explode("filled").alias("t")).groupBy("t").agg(F.count("*").alias("n")).join(wanted, "t", "left_semi")
+    at = lambda c: seen.where(F.size(c) > 0).select(key, "field_name", F.explode(c).alias("t"))
+    open_, odd = at("slots"), at("odd")
+    gaps = seen.where(F.size("gaps") > 0).select(F.explode("gaps").alias("g")).select(F.col("g")[0].alias("gap"), F.col("g")[1].alias("t")).distinct()
+    wanted = open_.select("t").unionByName(odd.select("t")).unionByName(gaps.select(F.col("gap").alias("t"))).distinct()
+    filled = cut(seen.where(F.size("filled") > 0).select(F.explode("filled").alias("t")).groupBy("t").agg(F.count("*").alias("n")).join(wanted, "t", "left_semi"))
     others = open_.groupBy("t").agg(F.count("*").alias("n"))
-    induced = filled.unionByName(others.where("n > 1")).select("t").distinct()
-    slot = open_.join(induced, "t", "left_semi").select(key, "field_name").distinct().withColumn("slot", F.lit(True))
+    induced = filled.select("t").unionByName(others.where("n > 1").select("t")).distinct()
+    slot = open_.join(induced, "t", "left_semi")
+    # What no list knows stands where others have residue, or where enough records have a name or figure.
+    sure = others.select("t").unionByName(filled.where(F.col("n") >= SOURCES).select("t")).distinct()
+    slot = slot.unionByName(odd.join(sure, "t", "left_semi"))
+    # A gap is one if enough records have something in its place, and more than have nothing.
+    support = others.unionByName(filled).groupBy("t").agg(F.sum("n").alias("support")).where(F.col("support") >= SOURCES)
+    blank = gaps.join(support, "t").join(filled.select(F.col("t").alias("gap"), "n"), "gap").where("n < support").select(F.col("gap").alias("t")).distinct()
+    slot = slot.unionByName(small_join(at("filled"), blank, ["t"], key, "left_semi"))
+    slot = slot.select(key, "field_name").distinct().withColumn("slot", F.lit(True))
     # Whole pages that come again from several sources.
     again = seen.where("page is not null").groupBy("page", "source").agg(F.count("*").alias("n")).groupBy("page").agg(F.count("*").alias("sources")).where(F.col("sources") >= SOURCES)
     c = F.col

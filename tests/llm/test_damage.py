@@ -24,6 +24,15 @@ def test_residue_table(spark):
     assert R.inspect(df.limit(0), "id", "src", ["body"]).count() == 0
 
 
+def test_induced_slots_find_what_no_list_knows(spark):
+    line = "Reported by {} for the {} desk."
+    rows = [(i, line.format(w, t)) for i, (w, t) in enumerate([("{{name}}", "Hill"), ("${author}", "Town"), ("Jane Roe", "Mill"), ("Ann Poe", "Port"), ("", "Lake"), ("author_name", "Moor"), ("____", "Bay")])]
+    rows += [(10, "He spoke %%HOW%% to Jane."), (11, "He spoke to Ann."), (12, "He spoke to Joe."), (13, "Our author_name is a column of Jane."), (14, "Follow @jane_roe for the Town desk."), (15, "“Reported by  for the Lake desk.” was printed."), (16, "")]
+    df = spark.createDataFrame([(i, "s", t) for i, t in rows], "id long, src string, body string")
+    got = {r.id: r.why for r in R.inspect(df, "id", "src", ["body"]).collect()}
+    assert got == {0: "slot", 1: "slot", 4: "slot", 5: "slot", 6: "slot", 10: "variable"}
+
+
 def test_truncation(spark):
     rnd = random.Random(3)
     subj, verb, obj = ["The harbour board", "The school trust", "A small bakery", "The ferry crew"], ["turned down", "paid for", "asked for a review of", "put off"], ["the old grain store at the far end of the quay", "a longer school day for all of its pupils", "the flood map of the lower town", "the night ferry to the northern islands"]
